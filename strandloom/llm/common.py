@@ -69,7 +69,8 @@ def ranked(df: DataFrame, group: list[str], order: list[str], block_of: list[str
     Rows are dealt to hash blocks of `block_of`; a window numbers each (group,
     block), and offsets come from the small table of block counts. A hot group
     is thus spread over all blocks. The order over blocks is the block number,
-    within a block it is `order`; equal rows are numbered in any order.
+    within a block it is `order`; equal rows are numbered in any order. The
+    `group` columns must not be null.
     """
     from pyspark.sql import Window as W
 
@@ -87,7 +88,7 @@ def ranked(df: DataFrame, group: list[str], order: list[str], block_of: list[str
     numbered = rows.withColumn("_row", F.row_number().over(within) - 1)
     on = F.col("_block") == F.col("_b")
     for i, g in enumerate(group):
-        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+        on = (F.col(g) == F.col(f"_g{i}")) & on
     return (
         numbered.join(base, on)
         .withColumn(out, (F.col("_row") + F.col("_base")).cast("long"))

@@ -75,6 +75,12 @@ def signatures(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def digests(value: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums over each row's set."""
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(v)]) for v in (mix(value), mix(value ^ np.uint64(0x5851F42D4C957F2D)))]
+    return [s[first[1:]] - s[first[:-1]] for s in sums]
+
+
 def _long(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
@@ -85,8 +91,7 @@ def _sketch(width: int):
             ids = batch.column(0)
             for i, j, buf, offsets in pieces(batch.column(1)):
                 value, first = shingle_sets(buf, offsets, width)
-                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(v)]) for v in (mix(value), mix(value ^ np.uint64(0x5851F42D4C957F2D)))]
-                d = [s[first[1:]] - s[first[:-1]] for s in sums]
+                d = digests(value, first)
                 sig = signatures(value, first)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(i, j - i), pa.array(np.diff(first)), _long(d[0]), _long(d[1]), pa.array([x.tobytes() for x in sig], pa.binary())],
@@ -148,9 +153,10 @@ def _sets(width: int):
         for batch in batches:
             for i, j, buf, offsets in pieces(batch.column(1)):
                 value, first = shingle_sets(buf, offsets, width)
+                d = digests(value, first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array([value[x:y].tobytes() for x, y in zip(first[:-1], first[1:])], pa.binary())],
-                    names=["rep", "set"],
+                    [batch.column(0).slice(i, j - i), pa.array(np.diff(first)), _long(d[0]), _long(d[1]), pa.array([value[x:y].tobytes() for x, y in zip(first[:-1], first[1:])], pa.binary())],
+                    names=["doc", "n_shingles", "d0", "d1", "set"],
                 )
     return run
 
@@ -178,6 +184,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, mis
     length is handled whole. `miss` bounds the posterior of a pruned pair; the
     bands miss a pair at the threshold with probability 3e-6.
     """
+    class_id = F.xxhash64("n_shingles", "d0", "d1")
     base = materialize(
         documents.select("doc_id", "text").mapInArrow(
             _sketch(width), "doc_id long, n_shingles long, d0 long, d1 long, sig binary"
@@ -186,11 +193,12 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, mis
     )
     some = base.filter("n_shingles > 0")
     reps = materialize(
-        some.groupBy("n_shingles", "d0", "d1").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")).filter("rep is not null"),
+        some.groupBy("n_shingles", "d0", "d1").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"))
+        .filter("doc is not null").withColumn("rep", class_id),
         "reps",
     )
     sigs = reps.select("rep", "sig")
-    buckets = sigs.select("rep", "sig").mapInArrow(_bands, "bucket long, rep long")
+    buckets = sigs.mapInArrow(_bands, "bucket long, rep long")
     crowded = buckets.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.min(F.struct(F.xxhash64("rep", F.lit(o)).alias("h"), F.col("rep").alias("c"))).alias(f"c{o}") for o in range(orders)],
@@ -202,11 +210,14 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, mis
     )
     floor = least_matches(percent / 100, miss)
     needed = members.select("rep").distinct()
-    texts = documents.select(F.col("doc_id").alias("rep"), "text").join(needed, "rep", "left_semi")
-    sets = materialize(texts.mapInArrow(_sets(width), "rep long, set binary").filter("length(set) > 0"), "sets")
-    if sets.groupBy("rep").count().filter("count > 1").limit(1).count():
-        sizes = reps.select("rep", "n_shingles")  # ids repeat: take a set that the class has
-        sets = sets.join(sizes, "rep").filter("length(set) = 8 * n_shingles").groupBy("rep").agg(F.first("set").alias("set"))
+    wanted = reps.join(needed, "rep", "left_semi").select("doc", "rep")
+    texts = documents.select(F.col("doc_id").alias("doc"), "text").join(wanted.select("doc").distinct(), "doc", "left_semi")
+    # a doc_id may repeat with another text: a set belongs to the class that its own digest names
+    sets = materialize(
+        texts.mapInArrow(_sets(width), "doc long, n_shingles long, d0 long, d1 long, set binary")
+        .select("doc", class_id.alias("rep"), "set").join(wanted, ["doc", "rep"], "left_semi").dropDuplicates(["rep"]).select("rep", "set"),
+        "sets",
+    )
 
     def survivors(found: DataFrame) -> DataFrame:
         met = (
@@ -247,13 +258,17 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, mis
     if more.limit(1).count():
         labels = materialize(components(links.union(more)), "labels")
     discard(members, stars)
-    classes = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        F.col("n_shingles").alias("n"), F.col("d0").alias("e0"), F.col("d1").alias("e1"), F.coalesce("label", "rep").alias("label")
+    classes = materialize(
+        reps.select("rep", "doc", F.col("n_shingles").alias("n"), F.col("d0").alias("e0"), F.col("d1").alias("e1"))
+        .join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")),
+        "classes",
     )
+    least = classes.groupBy("label").agg(F.min("doc").alias("least"))
+    named = classes.join(least, "label").select("n", "e0", "e1", "least")
     on = (F.col("n_shingles") == F.col("n")) & (F.col("d0") == F.col("e0")) & (F.col("d1") == F.col("e1"))
-    return base.drop("sig").join(classes, on, "left").select(
-        "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"),
-        F.coalesce(F.coalesce("label", "doc_id") == F.col("doc_id"), F.lit(False)).alias("kept"),
+    component = F.coalesce("least", "doc_id")
+    return base.drop("sig").join(named, on, "left").select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept")
     )
 
 
@@ -279,7 +294,7 @@ WITH RECURSIVE d AS (
 ), s AS (
   SELECT DISTINCT doc_id, sh FROM (
     SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-      ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i+3], ' ')) END) AS sh FROM d)
+      ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) END) AS sh FROM d)
 ), n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
 p AS (
   SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY 1, 2
