@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontam, embeddings, minhash, sharding, urlfilter, warc
+from . import decontam, embeddings, minhash, packing, sharding, substrings, urlfilter, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op2_sharding": sharding.op2_sharding,
     "op3_decontamination": decontam.op3_decontamination,
     "op4_warc": warc.op4_warc,
+    "op5_packing": packing.op5_packing,
     "op6_embeddings": embeddings.op6_embeddings,
     "op7_urlfilter": urlfilter.op7_urlfilter,
+    "op9_substrings": substrings.op9_substrings,
 }
 SQL = {
     "op1_minhash": minhash.OP1_SQL,
     "op3_decontamination": decontam.OP3_SQL,
     "op6_embeddings": embeddings.OP6_SQL,
+    "op9_substrings": substrings.OP9_SQL,
 }
