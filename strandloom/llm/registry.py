@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, embeddings, minhash, packing, sharding, substrings, urlfilter, warc
+from . import decontam, embeddings, minhash, packing, pii, sharding, substrings, urlfilter, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_embeddings": embeddings.op6_embeddings,
     "op7_urlfilter": urlfilter.op7_urlfilter,
     "op9_substrings": substrings.op9_substrings,
+    "op10_pii": pii.op10_pii,
 }
 SQL = {
     "op1_minhash": minhash.OP1_SQL,
