@@ -69,16 +69,10 @@ def _windows(words: str, size: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((i - 1).cast("long").alias("at"), F.array_join(F.slice(F.col(words), i, size), " ").alias("window"))))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 9, share: int = 20) -> DataFrame:
-    """Benchmark hits of each document.
+def benchmark_hits(documents: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 9) -> DataFrame:
+    """(digest, n_hit, ids) for each distinct text of `documents` with a hit; digest is the text's SHA-256.
 
-    `documents` has doc_id and text, `benchmark` has item_id and text; other columns
-    are ignored. Returns (doc_id, n_words, n_hit, n_items, items_sha256,
-    contaminated), a row per document row; rows that repeat a doc_id keep their own
-    row, judged on their own text. A null or empty text has no words and no hits.
-    An item under `span` words, but not none, is one window; items without words
-    hit nothing; hits of an item without item_id count as words, not as items.
-    Contaminated means n_hit > 0 and share * n_hit >= n_words.
+    ids are the item_ids as strings, sorted. See `decontaminate` for the rules.
     """
     items = materialize(
         benchmark.select(F.col("item_id").cast("string").alias("item_id"), word_list(F.col("text")).alias("words"))
@@ -130,7 +124,21 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, span: int = 13, k:
         .select("digest", "item_id").filter("item_id is not null").distinct()
         .groupBy("digest").agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
     )
-    facts = covered.join(named, "digest", "left")
+    return covered.join(named, "digest", "left").select("digest", F.col("n_hit").cast("long").alias("n_hit"), "ids")
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 9, share: int = 20) -> DataFrame:
+    """Benchmark hits of each document.
+
+    `documents` has doc_id and text, `benchmark` has item_id and text; other columns
+    are ignored. Returns (doc_id, n_words, n_hit, n_items, items_sha256,
+    contaminated), a row per document row; rows that repeat a doc_id keep their own
+    row, judged on their own text. A null or empty text has no words and no hits.
+    An item under `span` words, but not none, is one window; items without words
+    hit nothing; hits of an item without item_id count as words, not as items.
+    Contaminated means n_hit > 0 and share * n_hit >= n_words.
+    """
+    facts = benchmark_hits(documents, benchmark, span, k)
     out = documents.select("doc_id", word_count(F.col("text")).alias("n_words"), F.sha2("text", 256).alias("digest")).join(facts, "digest", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
@@ -141,6 +149,14 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, span: int = 13, k:
     )
 
 
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 9, share: int = 20) -> DataFrame:
+    """The rows of `documents`, all columns, that `decontaminate` does not call contaminated."""
+    hits = benchmark_hits(documents, benchmark, span, k).select(F.col("digest").alias("_digest"), F.col("n_hit").alias("_hit"))
+    met = documents.withColumn("_own", F.sha2("text", 256)).join(hits, F.col("_own") == F.col("_digest"), "left")
+    clean = F.col("_hit").isNull() | (share * F.col("_hit") < word_count(F.col("text")))
+    return met.filter(clean).select(*[F.col(f"`{c}`") for c in documents.columns])
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -257,7 +257,7 @@ def redact(text: str, spans) -> str:
 
 def _find(model: SkipChainCRF, certain: float, texts_out: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "redacted"]
+        names = ["row", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "redacted"]
         for batch in batches:
             column = batch.column(1)
             for i, j, buf, offsets in pieces(column):
@@ -284,7 +284,7 @@ def _find(model: SkipChainCRF, certain: float, texts_out: bool):
     return run
 
 
-OUT = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, redacted string"
+OUT = ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, redacted string"
 
 
 def find_personal(documents: DataFrame, model: SkipChainCRF | None = None, certain: float = 0.95, texts: bool = True) -> DataFrame:
@@ -298,7 +298,17 @@ def find_personal(documents: DataFrame, model: SkipChainCRF | None = None, certa
     is read whole, whatever its length.
     """
     model = model or train(documents)
-    return documents.select("doc_id", "text").mapInArrow(_find(model, certain, texts), OUT)
+    return documents.select(F.col("doc_id").alias("row"), "text").mapInArrow(_find(model, certain, texts), f"row long, {OUT}").withColumnRenamed("row", "doc_id")
+
+
+def redact_documents(documents: DataFrame, model: SkipChainCRF | None = None, certain: float = 0.95) -> DataFrame:
+    """`documents`, all columns, with spans in text replaced by their kind; n_chars follows where there is one."""
+    model = model or train(documents)
+    names = documents.columns
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text")
+    found = packed.mapInArrow(_find(model, certain, True), f"row {packed.schema['row'].dataType.simpleString()}, {OUT}")
+    new = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast("long")}
+    return found.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in names])
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

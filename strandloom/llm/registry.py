@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, embeddings, minhash, packing, pii, sharding, substrings, urlfilter, warc
+from . import decontam, embeddings, minhash, packing, pii, sharding, substrings, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -12,12 +12,14 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_embeddings": embeddings.op6_embeddings,
     "op7_urlfilter": urlfilter.op7_urlfilter,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_substrings": substrings.op9_substrings,
     "op10_pii": pii.op10_pii,
 }
 SQL = {
     "op1_minhash": minhash.OP1_SQL,
     "op3_decontamination": decontam.OP3_SQL,
+    "op4_warc": warc.OP4_SQL,
     "op6_embeddings": embeddings.OP6_SQL,
     "op9_substrings": substrings.OP9_SQL,
 }

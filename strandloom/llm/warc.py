@@ -372,3 +372,19 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("payload").isNotNull(), check(F.coalesce("payload", F.lit(b"")))).otherwise(F.col("payload_digest")).alias("payload_digest"),
         "record_type", number("refers_to").alias("refers_to"),
     )
+
+
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha1(coalesce(html, '')) AS h, coalesce(html, '') AS x FROM pages
+), f AS (SELECT x, max(page_id) AS first FROM p GROUP BY x),
+d AS (
+  SELECT page_id, n, x, list_transform(range(0, 8), lambda i: CAST('0x' || substr(h, i * 5 + 1, 5) AS BIGINT)) AS v FROM p
+)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(v, lambda b: array_to_string(list_transform([15, 10, 5, 0],
+    lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((b >> s) & 31 AS INTEGER) + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d JOIN f USING (x)
+"""
