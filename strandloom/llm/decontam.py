@@ -69,6 +69,13 @@ def _windows(words: str, size: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((i - 1).cast("long").alias("at"), F.array_join(F.slice(F.col(words), i, size), " ").alias("window"))))
 
 
+def _short_marks(words: str, size: int) -> Column:
+    """The hash of every run of `size` words, as short items are anchored."""
+    n = F.size(words) - size + 1
+    every = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.lit(-1), F.array_join(F.slice(words, i, size), " ")))
+    return F.when(n > 0, every).otherwise(F.array().cast("array<long>"))
+
+
 def benchmark_hits(documents: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 9) -> DataFrame:
     """(digest, n_hit, ids) for each distinct text of `documents` with a hit; digest is the text's SHA-256.
 
@@ -92,9 +99,7 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, span: int = 13, k
     texts = documents.select("text").filter("text is not null").withColumn("words", word_list(F.col("text")))
     texts = fingerprints(texts, "words", span, k)
     parts = [F.col("fps")]
-    for m in sorted(sizes):
-        n = F.size("words") - m + 1
-        parts.append(F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i, m=m: F.xxhash64(F.lit(-1), F.array_join(F.slice("words", i, m), " ")))).otherwise(F.array().cast("array<long>")))
+    parts += [_short_marks("words", m) for m in sorted(sizes)]
     # explode_outer: a filter inferred from explode would be pushed below and repeat the hashing
     met = texts.select("text", F.explode_outer(F.concat(*parts)).alias("fp")).join(F.broadcast(marks) if small else marks, "fp", "left_semi")
     # candidates: each text that shares a mark, once
