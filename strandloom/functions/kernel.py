@@ -29,17 +29,35 @@ def scramble(seed: int | None) -> int:
     return 0 if seed is None else (seed * 0x85EBCA6B + 0xC2B2AE35) & 0xFFFFFFFF
 
 
+def _turned(table: np.ndarray, reverse: bool) -> np.ndarray:
+    """The table for each of the 32 places after which rotations repeat, flat by place and code."""
+    turn = ROTATION * np.arange(32) % 32
+    return np.stack([rotl(table, int(t if reverse else 32 - t)) for t in turn]).ravel()
+
+
+def _spin(x: np.ndarray, first: int, sign: int) -> np.ndarray:
+    """Element i rotated left by first + sign * ROTATION * i, in rows of 32 so that the turns repeat."""
+    n = len(x)
+    turn = ((first + sign * ROTATION * np.arange(32)) % 32).astype(np.uint32)
+    wide = np.zeros(-(-n // 32) * 32, np.uint32)
+    wide[:n] = x
+    wide = wide.reshape(-1, 32)
+    return ((wide << turn) | (wide >> (np.uint32(32) - turn))).ravel()[:n]
+
+
 def _rolling(table: np.ndarray, codes: np.ndarray, k: int, reverse: bool) -> np.ndarray:
     """XOR over j of rotl(table[c[i+j]], R(k-1-j)), or rotl(..., Rj) if reverse."""
-    n = len(codes) - k + 1
-    if n <= 0:
+    if len(codes) < k:
         return np.zeros(0, np.uint32)
-    turn = ROTATION * np.arange(len(codes), dtype=np.int64) % 32
-    spun = rotl(table[codes], turn if reverse else (32 - turn) % 32)
-    total = np.concatenate([np.zeros(1, np.uint32), np.bitwise_xor.accumulate(spun)])
+    size = len(table)
+    at = np.arange(32 * -(-len(codes) // 32), dtype=np.int32)[: len(codes)]
+    at &= 31
+    at *= size
+    at += codes
+    total = np.zeros(len(codes) + 1, np.uint32)
+    np.bitwise_xor.accumulate(_turned(table, reverse)[at], out=total[1:])
     part = total[k:] ^ total[:-k]
-    at = np.arange(n, dtype=np.int64)
-    return rotl(part, (32 - ROTATION * at % 32) % 32 if reverse else ROTATION * (at + k - 1) % 32)
+    return _spin(part, 0, -1) if reverse else _spin(part, ROTATION * (k - 1), 1)
 
 
 def nt_hash(codes: np.ndarray, k: int, canonical: bool, seed: int | None = None) -> np.ndarray:
@@ -101,13 +119,18 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     return a
 
 
+#: Windows handled at once: positions within a block fit 16 bits, and its arrays a core's cache.
+BLOCK = 1 << 15
+
+
 def window_minima(hashes: np.ndarray, w: int, rightmost: bool = False) -> np.ndarray:
-    """Position of the least upper half of each w hashes; ties by position."""
-    at = np.arange(len(hashes), dtype=np.uint64)
-    low = np.uint64(0xFFFFFFFF)
-    key = ((hashes >> np.uint32(16)).astype(np.uint64) << np.uint64(32)) | (low - at if rightmost else at)
+    """Position of the least upper half of each w hashes; ties by position. At most 2**16 hashes."""
+    at = np.arange(len(hashes), dtype=np.uint32)
+    low = np.uint32(0xFFFF)
+    key = hashes & np.uint32(0xFFFF0000)
+    key |= low - at if rightmost else at
     best = sliding_min(key, w) & low
-    return (low - best if rightmost else best).astype(np.int64)
+    return low - best if rightmost else best
 
 
 def prefix(flags: np.ndarray) -> np.ndarray:
@@ -120,35 +143,54 @@ def sample(data: np.ndarray, offsets: np.ndarray, options):
     Windows and positions count from their sequence's start. Sequences shorter than
     a window give nothing.
     """
-    length, k, w = options.length, options.k, options.w
+    length, w = options.length, options.w
     codes = CODES[data] if options.alphabet == "dna" else data
     total = len(codes) - length + 1
     if total <= 0:
         return (np.zeros(0, np.int64),) * 3
     sizes = np.diff(offsets)
-    row_of = np.repeat(np.arange(len(sizes)), sizes)
-    keep = row_of[:total] == row_of[length - 1 :]
+    own = np.maximum(sizes - length + 1, 0)
+    keep = np.repeat(np.tile([True, False], len(sizes)), np.stack([own, sizes - own], 1).ravel())
+    wins, places, tail = [], [], -1
+    for at in range(0, total, BLOCK):
+        end = min(total, at + BLOCK)
+        piece = codes[at : end + length - 1]
+        pos = window_answers(piece, options)
+        good = keep[at:end]
+        if options.ambiguous == "skip":
+            odd = prefix(~PLAIN[data[at : end + length - 1]])
+            good = good & (odd[length:] == odd[:-length])
+        if options.kind != "minimizers":
+            start = np.arange(len(pos), dtype=np.uint32)
+            good = good & ((pos == start) | (pos == start + np.uint32(w - 1)) if options.kind == "closed" else pos == start + np.uint32(w // 2))
+        win = np.flatnonzero(good)
+        pos = pos[win]
+        if options.kind == "minimizers" and not options.all_windows and len(win):
+            new = np.ones(len(win), bool)
+            np.not_equal(pos[1:], pos[:-1], out=new[1:])  # sequences share no position
+            last, win, pos = pos[-1], win[new], pos[new]
+            if int(pos[0]) + at == tail:  # the run goes on from the block before
+                win, pos = win[1:], pos[1:]
+            tail = int(last) + at
+        wins.append(win + at)
+        places.append(pos.astype(np.int64) + at)
+    win, pos = np.concatenate(wins), np.concatenate(places)
+    row = np.searchsorted(offsets, win, "right") - 1
+    start = offsets[:-1][row]
+    return row, win - start, pos - start
+
+
+def window_answers(codes: np.ndarray, options) -> np.ndarray:
+    """The chosen position of each window of a block."""
     hashes = kmer_hashes(codes, options)
-    at = window_minima(hashes, w)
+    at = window_minima(hashes, options.w)
     if options.canonical:
-        strand = prefix(codes >> 1)
+        length = options.length
+        strand = np.zeros(len(codes) + 1, np.int32)
+        np.cumsum(codes >> 1, dtype=np.int32, out=strand[1:])
         leftmost = 2 * (strand[length:] - strand[:-length]) > length
-        at = np.where(leftmost, at, window_minima(hashes, w, True))
-    if options.ambiguous == "skip":
-        odd = prefix(~PLAIN[data])
-        keep &= odd[length:] == odd[:-length]
-    win = np.flatnonzero(keep)
-    pos, row = at[win], row_of[win]
-    if options.kind == "minimizers":
-        if not options.all_windows and len(pos):
-            new = np.ones(len(pos), bool)
-            new[1:] = (pos[1:] != pos[:-1]) | (row[1:] != row[:-1])
-            win, pos, row = win[new], pos[new], row[new]
-    else:
-        hit = (pos == win) | (pos == win + w - 1) if options.kind == "closed" else pos == win + w // 2
-        win, pos, row = win[hit], pos[hit], row[hit]
-    start = offsets[:-1][row]
-    return row, win - start, pos - start
+        at = np.where(leftmost, at, window_minima(hashes, options.w, True))
+    return at
 
 
 def values(codes: np.ndarray, at: np.ndarray, length: int, canonical: bool) -> tuple[np.ndarray, np.ndarray]:
