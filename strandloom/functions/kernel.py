@@ -6,6 +6,8 @@ come from prefix XORs, sliding minima from doubling, so no step loops over bases
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 # The 32-bit hash constants of the bases, by code A, C, T, G, and the rotation.
@@ -29,8 +31,10 @@ def scramble(seed: int | None) -> int:
     return 0 if seed is None else (seed * 0x85EBCA6B + 0xC2B2AE35) & 0xFFFFFFFF
 
 
-def _turned(table: np.ndarray, reverse: bool) -> np.ndarray:
+@lru_cache(16)
+def _turned(raw: bytes, reverse: bool) -> np.ndarray:
     """The table for each of the 32 places after which rotations repeat, flat by place and code."""
+    table = np.frombuffer(raw, np.uint32)
     turn = ROTATION * np.arange(32) % 32
     return np.stack([rotl(table, int(t if reverse else 32 - t)) for t in turn]).ravel()
 
@@ -49,13 +53,12 @@ def _rolling(table: np.ndarray, codes: np.ndarray, k: int, reverse: bool) -> np.
     """XOR over j of rotl(table[c[i+j]], R(k-1-j)), or rotl(..., Rj) if reverse."""
     if len(codes) < k:
         return np.zeros(0, np.uint32)
-    size = len(table)
-    at = np.arange(32 * -(-len(codes) // 32), dtype=np.int32)[: len(codes)]
+    at = np.arange(len(codes), dtype=np.intp)
     at &= 31
-    at *= size
+    at *= len(table)
     at += codes
     total = np.zeros(len(codes) + 1, np.uint32)
-    np.bitwise_xor.accumulate(_turned(table, reverse)[at], out=total[1:])
+    np.bitwise_xor.accumulate(_turned(table.tobytes(), reverse)[at], out=total[1:])
     part = total[k:] ^ total[:-k]
     return _spin(part, 0, -1) if reverse else _spin(part, ROTATION * (k - 1), 1)
 
