@@ -29,10 +29,24 @@ _LETTER = np.ones(256, bool)
 _LETTER[[b for b in range(128) if not chr(b).isalnum()]] = False
 
 
+def fold_case(buf: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the upper-case letters U+00C0 to U+00DE in lower case; A to Z fold later."""
+    if len(buf) < 2:
+        return buf
+    tail = buf[1:]
+    upper = (buf[:-1] == 0xC3) & (tail >= 0x80) & (tail <= 0x9E) & (tail != 0x97)
+    if not upper.any():
+        return buf
+    out = buf.copy()
+    out[1:][upper] += 0x20
+    return out
+
+
 class Lexicon:
     """Distinct words of a piece: word bucket, trigram buckets (flat, with firsts), and each word's index."""
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray):
+        buf = fold_case(buf)
         starts, ends, self.firsts, h = scan(buf, offsets, lower=True, word=SPACE & _LETTER)
         names, at, self.index = np.unique(h, return_index=True, return_inverse=True)
         self.word = (names % np.uint64(WORDS)).astype(np.int64)

@@ -364,7 +364,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_warc(page_records(table(spark, sf_dir, "pages")), path)
     back = read_warc(spark, path)
-    number = lambda c: F.regexp_extract(c, r"<urn:page:(\d+)>", 1).try_cast("long")
+    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
     check = F.udf(base32_sha1, "string", useArrow=True)
     return back.select(
         number("record_id").alias("page_id"),
