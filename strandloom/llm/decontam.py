@@ -156,8 +156,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, span: int = 13, k:
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 9, share: int = 20) -> DataFrame:
     """The rows of `documents`, all columns, that `decontaminate` does not call contaminated."""
-    hits = benchmark_hits(documents, benchmark, span, k).select(F.col("digest").alias("_digest"), F.col("n_hit").alias("_hit"))
-    met = documents.withColumn("_own", F.sha2("text", 256)).join(hits, F.col("_own") == F.col("_digest"), "left")
+    hits = materialize(benchmark_hits(documents, benchmark, span, k).select(F.unhex("digest").alias("_digest"), F.col("n_hit").alias("_hit")), "hits")
+    if hits.count() <= BROADCAST_ROWS // 8:  # 40 bytes a row; beyond that, texts are shuffled
+        hits = F.broadcast(hits)
+    met = documents.withColumn("_own", F.unhex(F.sha2("text", 256))).join(hits, F.col("_own") == F.col("_digest"), "left")
     clean = F.col("_hit").isNull() | (share * F.col("_hit") < word_count(F.col("text")))
     return met.filter(clean).select(*[F.col(f"`{c}`") for c in documents.columns])
 
