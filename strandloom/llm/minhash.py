@@ -7,8 +7,10 @@
 3. Candidate signatures are compared in batches; a pair is dropped as soon as the
    posterior probability of a similarity above the threshold falls below the miss
    probability. Survivors are verified on the full sets.
-4. Buckets that still hold members of different components are then compared
-   across components only, so no link that could join components is lost.
+4. Buckets that still hold members of different components are compared across
+   components only, block against block in memory: first signatures, which gives
+   clusters of possible links, then full sets within each cluster. Only edges that
+   connect something leave a task, and no link that could join components is lost.
 """
 
 from __future__ import annotations
@@ -173,6 +175,120 @@ def _verify(percent: int):
     return run
 
 
+#: Members of a group compared at once: a block against a block.
+BLOCK = 256
+
+
+def _in_blocks(rows: DataFrame, group: str, *more: str) -> DataFrame:
+    """Deal (group, n, rep, label, sig) to pairs of blocks, sorted so that each pair is a run of rows.
+
+    A group of n members has ceil(n / BLOCK) blocks; a member goes to each pair that
+    holds its block, so no task needs more than two blocks of a group at a time.
+    """
+    count = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    own = F.pmod(F.xxhash64("rep"), count).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    key = F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other"))
+    dealt = dealt.select(key.alias("key"), (F.col("own") < F.col("other")).alias("low"), (F.col("own") == F.col("other")).alias("same"), "rep", "label", "sig", *more)
+    return dealt.repartition("key").sortWithinPartitions("key")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of one key at a time, from batches sorted by key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if held and held[0].column(0)[0].as_py() != key[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class _Forest:
+    """Union-find over positions; starts from the given labels."""
+
+    def __init__(self, label: np.ndarray):
+        _, first, at = np.unique(label, return_index=True, return_inverse=True)
+        self.up = first[at].tolist()
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _pairs(run: pa.Table, floor: np.ndarray):
+    """Positions of the pairs of a run that differ in label and pass the sequential test, likeliest first."""
+    low, same = run.column("low").to_numpy(), run.column("same").to_numpy()
+    label = run.column("label").to_numpy()
+    sig = np.frombuffer(b"".join(run.column("sig").to_pylist()), np.uint32).reshape(len(label), -1)
+    x = np.flatnonzero(low | same)
+    y = np.flatnonzero(~low)
+    i, j = (v.ravel() for v in np.meshgrid(x, y, indexing="ij"))
+    ok = (label[i] != label[j]) & (~same[i] | (i < j))
+    i, j = i[ok], j[ok]
+    equal = np.zeros(len(i), np.int64)
+    for k, least in enumerate(floor):
+        cut = slice(k * BATCH, (k + 1) * BATCH)
+        for at in range(0, len(i), 1 << 15):
+            some = slice(at, at + (1 << 15))
+            equal[some] += (sig[i[some], cut] == sig[j[some], cut]).sum(1)
+        ok = equal >= least
+        i, j, equal = i[ok], j[ok], equal[ok]
+    order = np.argsort(-equal, kind="stable")
+    return i[order].tolist(), j[order].tolist(), label
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["u", "v"])
+
+
+def _near(floor: np.ndarray):
+    """Edges that connect what the sequential test lets through, a forest per run."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            if rows.num_rows > 1:
+                i, j, _ = _pairs(rows, floor)
+                if i:
+                    rep = rows.column("rep").to_numpy()
+                    forest = _Forest(np.arange(len(rep)))
+                    yield _edges([(int(rep[x]), int(rep[y])) for x, y in zip(i, j) if forest.join(x, y)])
+    return run
+
+
+def _exact(floor: np.ndarray, percent: int):
+    """Links verified on full sets, as many as connect what is linked, a forest per run."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            if rows.num_rows > 1:
+                i, j, label = _pairs(rows, floor)
+                if not i:
+                    continue
+                rep, forest = rows.column("rep").to_numpy(), _Forest(label)
+                sets = [np.frombuffer(x, np.uint64) for x in rows.column("set").to_pylist()]
+                found = []
+                for x, y in zip(i, j):
+                    if forest.find(x) != forest.find(y):
+                        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                        if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                            forest.join(x, y)
+                            found.append((int(rep[x]), int(rep[y])))
+                yield _edges(found)
+    return run
+
+
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, miss: float = 1e-6, orders: int = 4) -> DataFrame:
     """Near-duplicate classes of (doc_id, text) rows by word-shingle Jaccard similarity.
 
@@ -244,17 +360,20 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, mis
     labels = materialize(components(links), "labels")
     links = links.union(verified(apart(stars.select("a", "b"), labels)))
     labels = materialize(components(links), "labels")
-    # buckets whose members are in different components: compare across them
+    # buckets whose members are in different components: find who may be linked across them
     tagged = members.select("bucket", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "bucket", "rep", F.coalesce("label", "rep").alias("label")
     )
-    mixed = tagged.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("bucket")
-    left = tagged.join(mixed, "bucket", "left_semi")
-    across = (
-        left.alias("x").join(left.alias("y"), "bucket").filter("x.label <> y.label and x.rep > y.rep")
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    )
-    more = verified(survivors(across))
+    mixed = tagged.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), (F.min("label") != F.max("label")).alias("mixed")).filter("mixed")
+    left = tagged.join(mixed.select("bucket", "n"), "bucket").join(sigs, "rep")
+    maybe = _in_blocks(left, "bucket").mapInArrow(_near(floor), "u long, v long")
+    cluster = components(materialize(maybe, "maybe"))
+    # then verify within those clusters, block by block, each set shipped once per block
+    inside = cluster.select(F.col("node").alias("rep"), F.col("label").alias("bucket")).join(
+        labels.withColumnRenamed("node", "rep"), "rep", "left"
+    ).withColumn("label", F.coalesce("label", "rep"))
+    sized = inside.join(inside.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket").join(sigs, "rep").join(sets, "rep")
+    more = materialize(_in_blocks(sized, "bucket", "set").mapInArrow(_exact(floor, percent), "u long, v long"), "links")
     if more.limit(1).count():
         labels = materialize(components(links.union(more)), "labels")
     discard(members, stars)
