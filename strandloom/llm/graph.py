@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 
+#: Edges that one task writes in a round.
+EDGES_PER_FILE = 500_000
+
+
 def _checksum(edges: DataFrame):
     return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first()
 
@@ -35,8 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
         edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
     mark = _checksum(now)
-    while True:
-        after = materialize(_star(_star(now, True), False), "edges")
+    parts = mark[0] // EDGES_PER_FILE + 1  # edges never get more, so rounds need no more files
+    while mark[0]:
+        after = materialize(_star(_star(now, True), False).coalesce(parts), "edges")
         seen = _checksum(after)
         discard(now)
         now = after
