@@ -382,6 +382,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, mis
         .join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")),
         "classes",
     )
+    discard(reps, sets)
     least = classes.groupBy("label").agg(F.min("doc").alias("least"))
     named = classes.join(least, "label").select("n", "e0", "e1", "least")
     on = (F.col("n_shingles") == F.col("n")) & (F.col("d0") == F.col("e0")) & (F.col("d1") == F.col("e1"))
