@@ -129,15 +129,18 @@ class WaveletMatrix:
             self.levels.append((bit, BitVector(ones.astype(np.uint8))))
             self.zeros.append(int(len(values) - ones.sum()))
             values = np.concatenate([values[ones == 0], values[ones == 1]])
+        symbols = np.arange(sigma)
+        self.start = self._down(symbols, np.zeros(sigma, np.int64))
+
+    def _down(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
+        for (bit, vector), zeros in zip(self.levels, self.zeros):
+            ones = vector.rank(i)
+            i = np.where((c >> bit) & 1, zeros + ones, i - ones)
+        return i
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Occurrences of c[k] before position i[k]."""
-        start = np.zeros_like(i)
-        for (bit, vector), zeros in zip(self.levels, self.zeros):
-            one = ((c >> bit) & 1).astype(bool)
-            a, b = vector.rank(start), vector.rank(i)
-            start, i = np.where(one, zeros + a, start - a), np.where(one, zeros + b, i - b)
-        return i - start
+        return self._down(c, i) - self.start[c]
 
 
 class FMIndex:
@@ -274,11 +277,12 @@ def cut_repeats(documents: DataFrame, span: int = 13, texts: bool = True) -> Dat
         spots.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("fp"), "shared"
     )
     spotted = materialize(spots.join(shared, "fp", "left_semi"), "spots")
+    discard(shared)
     lists = spotted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("fp", "at", "n")).alias("spots"))
     segments = materialize(
         some.join(lists, ["doc_id", "th"]).select("doc_id", "th", "text", "spots")
         .mapInArrow(_segments(span), "fp long, doc_id long, th long, at int, n int, content binary")
-        .withColumn("unit", F.unhex(F.sha2("content", 256))),
+        .withColumn("unit", F.substring(F.unhex(F.sha2("content", 256)), 1, 16)),
         "segments",
     )
     discard(spotted)
@@ -286,7 +290,7 @@ def cut_repeats(documents: DataFrame, span: int = 13, texts: bool = True) -> Dat
     crowded = units.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT_UNITS).select("fp")
     single = materialize(
         units.join(crowded, "fp", "left_semi").select("unit", "doc", "content").mapInArrow(_single(span), "unit binary, doc long, j int, content binary")
-        .withColumn("window", F.unhex(F.sha2("content", 256))),
+        .withColumn("window", F.substring(F.unhex(F.sha2("content", 256)), 1, 16)),
         "single",
     )
     loose = single.groupBy("window").agg(F.min("doc").alias("doc"), F.first("content").alias("content"))
@@ -309,7 +313,7 @@ def cut_repeats(documents: DataFrame, span: int = 13, texts: bool = True) -> Dat
         _cuts, "doc_id long, th long, first int, end int"
     )
     found = materialize(cuts.distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "end")).alias("cuts")), "cuts")
-    discard(segments, units, single)
+    discard(segments, units, single, least)
     return base.join(found, ["doc_id", "th"], "left").select("doc_id", "text", "cuts").mapInArrow(
         _strip(span, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )
