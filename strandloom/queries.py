@@ -314,17 +314,12 @@ _add(
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     """Canonical minimizers of a file stream of conversations, run to its end."""
-    import uuid
-
-    from strandloom.streaming.stream import sketch_stream
+    from strandloom.streaming.stream import run_to_end, sketch_stream
 
     source = spark.read.parquet(f"{d}/conversations.parquet")
-    name = f"samples_{uuid.uuid4().hex}"
     stream = spark.readStream.schema(source.schema).parquet(f"{d}/conversations.parquet*")
     rows = stream.select("conv_id", "turn", bases.dna_letters(F.col("text")).alias("seq"))
-    query = sketch_stream(rows, "seq", C5).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination(600)
-    return spark.table(name)
+    return run_to_end(sketch_stream(rows, "seq", C5))
 
 
 _add("stream_minimizers", _stream, (

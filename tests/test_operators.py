@@ -128,3 +128,18 @@ def test_stream(spark, df, tmp_path):
     q = counts.writeStream.format("memory").queryName("c").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("c").agg(F.sum("n")).first()[0] == sketch.minimizers(df, "seq", 5, 7).count()
+
+
+def test_stream_query_waits_for_its_end(spark, monkeypatch):
+    from pyspark.sql.streaming import StreamingQuery
+
+    from strandloom import queries
+
+    wait = StreamingQuery.awaitTermination
+    # a stream that outlasts any timeout: waiting with one gives up at once
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, timeout=None: wait(self) if timeout is None else False)
+    sf = "/root/testdata/sf0.001"
+    out = queries.QUERIES["stream_minimizers"](spark, sf)
+    source = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", bases.dna_letters(F.col("text")).alias("seq"))
+    assert rows(out) == rows(sketch.sketch(source, "seq", queries.C5)) != []
+    assert out.inputFiles()  # from the shared folder, not from the driver's memory
