@@ -392,15 +392,30 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, mis
     )
 
 
-def keep_one(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def keep_rows(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `documents` that a near-duplicate class keeps: one of each class, of its least doc_id.
 
-    Rows without doc_id are kept only if nothing else has their text: they are
-    judged as no duplicate of anything. Of rows that repeat a doc_id one stays.
+    Rows are judged by their texts, whatever ids they repeat or lack: rows that share
+    a doc_id but are not alike all stay. A row without doc_id stays only if no other
+    row kept is like it. Texts without words are like nothing, but of rows with equal
+    doc_id and text one stays.
     """
-    kept = near_duplicates(documents, width, percent).filter("kept").select("doc_id").distinct()
-    named = documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(documents.filter("doc_id is null"))
+    # a row goes by a hash of what it holds, so ids may repeat or be missing
+    row = F.xxhash64("doc_id", "text")
+    classes = near_duplicates(documents.select(row.alias("doc_id"), "text"), width, percent)
+    ids = documents.select(row.alias("_row"), "doc_id").distinct()
+    best = (
+        classes.select(F.col("doc_id").alias("_row"), "component_id").distinct().join(ids, "_row")
+        .groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_row")).alias("best"))
+        .select("best._row")
+    )
+    return documents.withColumn("_row", row).join(best, "_row", "left_semi").dropDuplicates(["_row", "doc_id", "text"]).drop("_row")
+
+
+def keep_one(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """`keep_rows` for a table whose doc_ids must come out unique: of rows that repeat a doc_id one stays."""
+    rows = keep_rows(documents, width, percent)
+    return rows.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.filter("doc_id is null"))
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,3 +81,26 @@ def test_empty_table(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_judges_rows_not_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [
+        (3, a), (5, a + " end"), (5, b), (5, b), (5, b + " end"),  # 5 repeats: once like 3, once unlike anything
+        (9, c), (9, "quite another text under one id"), (None, c), (None, c + " end"),  # without id, like 9
+        (None, d), (None, d), (None, "short"), (2, None), (4, None), (4, None), (4, " "),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    out = pipeline.drop_near_duplicates(spark, df, SF)
+    assert out.columns == df.columns
+    got = sorted((r["doc_id"] or -1, r["text"] or "") for r in out.collect())
+    fives = [t for i, t in got if i == 5]
+    assert len(fives) == 1 and fives[0] in (b, b + " end")
+    want = [(3, a), (9, c), (9, "quite another text under one id"), (-1, d), (-1, "short"), (2, ""), (4, ""), (4, " ")]
+    assert [x for x in got if x[0] != 5] == sorted(want)
+    assert pipeline.drop_near_duplicates(spark, df.limit(0), SF).count() == 0
+
+
+def test_near_duplicates_of_one_hot_id(spark):
+    df = spark.createDataFrame([(1, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(50)], "doc_id long, text string")
+    assert pipeline.drop_near_duplicates(spark, df, SF).count() == 50
