@@ -23,6 +23,8 @@ from .words import LOWER, SPACE, mix, pieces, row_of, scan
 
 WORDS, CHARS, WIDTH, HIDDEN = 8192, 8192, 16, 12
 WINDOW, STRIDE = 32, 24
+#: Stride of scoring. It divides STRIDE, so every window laid as in training is scored, and words up to 20 apart share a window.
+FINE = 12
 _BYTE = np.arange(256, dtype=np.uint64)[LOWER] + np.uint64(1)
 #: Bytes of a word, without the marks around it.
 _LETTER = np.ones(256, bool)
@@ -62,13 +64,13 @@ class Lexicon:
         self.gram = (mix((before * np.uint64(512) + _BYTE[pad[p]]) * np.uint64(512) + after) % np.uint64(CHARS)).astype(np.int64)
 
 
-def window_starts(firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first word, words) of every window: each STRIDE words, the last flush with the end."""
+def window_starts(firsts: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, words) of every window: each `stride` words, the last flush with the end."""
     n = np.diff(firsts)
-    count = np.where(n > 0, np.maximum(-(-(n - WINDOW) // STRIDE), 0) + 1, 0)
+    count = np.where(n > 0, np.maximum(-(-(n - WINDOW) // stride), 0) + 1, 0)
     row = np.repeat(np.arange(len(n)), count)
     k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    start = np.minimum(k * STRIDE, np.maximum(n[row] - WINDOW, 0))
+    start = np.minimum(k * stride, np.maximum(n[row] - WINDOW, 0))
     return row, firsts[:-1][row] + start, np.minimum(n[row], WINDOW)
 
 
@@ -321,7 +323,7 @@ def _scores(params: dict):
         for batch in batches:
             for i, j, buf, offsets in pieces(batch.column(1)):
                 lex = Lexicon(buf, offsets)
-                row, start, size = window_starts(lex.firsts)
+                row, start, size = window_starts(lex.firsts, FINE)
                 out = np.full(j - i, min(blank, 0.5))
                 if len(row):
                     logit = score_windows(net, lex, start, size).astype(np.float64)

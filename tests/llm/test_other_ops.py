@@ -300,3 +300,17 @@ def test_gradients():
         down = run()[0].sum()
         net.p[name][at] += 1e-4
         assert abs((up - down) / 2e-4 - g[name][at]) < 2e-3 * max(1, abs(g[name][at]))
+
+
+def test_scored_windows_hold_near_words_together(monkeypatch):
+    import pyarrow as pa
+
+    seen = []
+    monkeypatch.setattr(toxicity, "score_windows", lambda net, lex, start, size: seen.append((start, size)) or np.zeros(len(start), np.float32))
+    n = 333
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(f"w{i}" for i in range(n))], pa.large_string())], names=["row", "text"])
+    list(toxicity._scores(toxicity.Network().p)(iter([batch])))
+    start, size = seen[0]
+    assert set(toxicity.window_starts(np.array([0, n]))[1]) <= set(start)
+    for a in range(n - 20):  # two words 20 apart are in one window
+        assert ((start <= a) & (a + 20 < start + size)).any()
