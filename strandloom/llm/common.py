@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,13 +15,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, as `spark.checkpoint.dir` names it.
 
-    A temporary folder is made only where the session names none (local tests).
+    A temporary folder is made only where the session names none and all tasks run
+    in the driver's process (local tests); elsewhere a missing setting is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="strandloom-")
         atexit.register(shutil.rmtree, path, True)
         spark.sparkContext.setCheckpointDir(path)
@@ -31,14 +35,34 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/strandloom-{what}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch sent to Python. Rows are never split, so one long text may exceed it.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, unless the session has a lower bound already."""
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(_BATCH))
+    if now and not 0 < int(now[1]) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, what: str = "table") -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back.
 
-    Cuts the lineage; a lost executor costs only the tasks it ran.
+    Cuts the lineage; a lost executor costs only the tasks it ran. The shuffle files
+    that the write needed are deleted as it ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, what)
-    df.write.parquet(path)
+    bound_batches(spark)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._strandloom_path = path
     return out

@@ -1,17 +1,21 @@
 """Substring dedup with compressed FM-indexes over word sequences.
 
 1. An Arrow pass winnows each text: every window of `span` words has a fingerprint,
-   the least hash of its k-grams. Fingerprints seen under more than one doc_id are
-   kept; a window whose fingerprint is not among them occurs in one document only.
+   the least hash of its k-grams. Fingerprints seen in more than one text are kept;
+   a window whose fingerprint is not among them occurs in no other text. Equal texts
+   need no search: all but those of the least doc_id are repeats as a whole.
 2. Runs of windows with a shared fingerprint become segments. Equal segments are
-   one unit that remembers its least doc_id. A unit's shard follows from its
-   fingerprint, so all occurrences of a window meet in one shard; a fingerprint with
-   very many units is dealt out window by window instead.
-3. Each shard builds an FM-index: a suffix array of depth `span`, its
-   Burrows-Wheeler transform in a wavelet matrix of bit vectors with rank counts.
-   Its units are streamed against it: backward search gives the matching statistic
-   at each window end, and windows that reach `span` report the least doc_id among
-   the suffixes of their interval.
+   one unit with the least doc_id. A unit's shard follows from its fingerprint, so
+   all occurrences of a window meet in one shard; a fingerprint with very many units
+   is dealt out window by window instead.
+3. Each shard builds an FM-index of its sources, the units of each fingerprint's
+   least doc_id: a Burrows-Wheeler transform in a wavelet matrix of bit vectors with
+   rank counts, and a bit vector that marks where suffixes begin to differ within
+   `span` words; the suffix array itself is dropped. All other units are streamed
+   against it: backward search gives the matching statistic at each window end. A
+   window that reaches `span` has its first document among the sources. The units
+   that keep a window below `span` are indexed by themselves and searched again.
+   Intervals of windows with one first document are reported.
 4. Windows seen in a document with a smaller doc_id are cut from their own.
 """
 
@@ -25,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table
-from .words import grams, pieces, row_of, scan
+from .common import bound_batches, discard, materialize, table
+from .words import forget, grams, pieces, row_of, scan
 
 GRAM = 5
 #: Words of units that one shard's index holds on average.
@@ -74,18 +78,50 @@ def _spots(span: int):
 
 
 def _segments(span: int):
+    """Segments; the first of equal ones in a batch has the content and the least doc_id.
+
+    Units that repeat in a batch are remembered by the task, which then sends them
+    again only with a smaller doc_id: a passage of every third document costs a task
+    a few rows.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["fp", "doc_id", "th", "at", "n", "content"]
+        sent: dict[bytes, int] = {}
         for batch in batches:
+            columns: list[list] = [[], [], [], [], []]
+            contents = []
             for k in range(batch.num_rows):
                 words = batch.column(2)[k].as_py().encode().split()
                 spots = batch.column(3)[k].values
-                fp, at, n = (spots.field(c) for c in ("fp", "at", "n"))
-                content = [b" ".join(words[a : a + m + span - 1]) for a, m in zip(at.to_numpy().tolist(), n.to_numpy().tolist())]
-                rows = len(content)
-                yield pa.RecordBatch.from_arrays(
-                    [fp, pa.repeat(batch.column(0)[k], rows), pa.repeat(batch.column(1)[k], rows), at, n, pa.array(content, pa.binary())], names=names
-                )
+                fp, at, n = (spots.field(c).to_numpy().tolist() for c in ("fp", "at", "n"))
+                contents += [b" ".join(words[a : a + m + span - 1]) for a, m in zip(at, n)]
+                doc, th = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                for column, values in zip(columns, (fp, [doc] * len(fp), [th] * len(fp), at, n)):
+                    column += values
+            units = [hashlib.blake2b(c, digest_size=16).digest() for c in contents]
+            least: dict[bytes, int] = {}
+            often = set()
+            for unit, doc in zip(units, columns[1]):
+                if unit in least:
+                    often.add(unit)
+                    if doc < least[unit]:
+                        least[unit] = doc
+                else:
+                    least[unit] = doc
+            lowest: list[int | None] = []
+            for k, unit in enumerate(units):
+                doc = least.pop(unit, None)
+                if doc is not None and sent.get(unit, doc + 1) <= doc:
+                    doc = None
+                if doc is None:
+                    contents[k] = None
+                elif unit in often:
+                    sent[unit] = doc
+                lowest.append(doc)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, kind) for c, kind in zip(columns, kinds)), pa.array(units, pa.binary()), pa.array(contents, pa.binary()), pa.array(lowest, pa.int64())],
+                names=["fp", "doc_id", "th", "at", "n", "unit", "content", "doc"],
+            )
     return run
 
 
@@ -146,11 +182,13 @@ class WaveletMatrix:
 class FMIndex:
     """Index of word sequences for patterns of up to `depth` symbols.
 
-    `symbols` holds the sequences, each closed by symbol 0. The suffix array is
-    sorted by `depth` symbols, which is what backward search of such patterns needs.
+    `symbols` holds the sequences, each closed by symbol 0, and `docs` the document
+    of each symbol. Suffixes are sorted by `depth` symbols, which is what backward
+    search of such patterns needs; those equal so far form a group, of which the
+    index keeps the beginning, as a bit, and the least document.
     """
 
-    def __init__(self, symbols: np.ndarray, sigma: int, depth: int):
+    def __init__(self, symbols: np.ndarray, sigma: int, depth: int, docs: np.ndarray | None = None):
         rank, have = symbols, 1
         while have < depth:
             step = min(have, depth - have)
@@ -158,13 +196,19 @@ class FMIndex:
             after[:-step or None] = rank[step:]
             _, rank = np.unique(rank * (int(rank.max()) + 1) + after, return_inverse=True)
             have += step
-        self.suffixes = np.argsort(rank, kind="stable")
-        order = rank[self.suffixes]
-        self.groups = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
-        self.bwt = WaveletMatrix(symbols[self.suffixes - 1], sigma)
+        suffixes = np.argsort(rank, kind="stable")
+        order = rank[suffixes]
+        begins = np.concatenate([[True], order[1:] != order[:-1]])
+        self.begins = BitVector(begins.astype(np.uint8))
+        self.docs = None if docs is None else np.minimum.reduceat(docs[suffixes], np.flatnonzero(begins))
+        self.bwt = WaveletMatrix(symbols[suffixes - 1], sigma)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=sigma))])
         self.size, self.depth = len(symbols), depth
 
+    def least(self, lo: np.ndarray) -> np.ndarray:
+        """The least document of the group at each `lo`, for patterns of `depth` symbols."""
+        return self.docs[self.begins.rank(lo + 1) - 1]
+
     def matching_statistics(self, stream: np.ndarray, ends: np.ndarray):
         """Longest match, up to `depth`, that ends before each of `ends`, and its suffix interval."""
         length = np.zeros(len(ends), np.int64)
@@ -181,67 +225,82 @@ class FMIndex:
         return length, lo, hi
 
 
+def first_documents(text: np.ndarray, owner: np.ndarray, docs: np.ndarray, fps: np.ndarray, window: np.ndarray, begin: np.ndarray, sigma: int, span: int) -> np.ndarray:
+    """The least document of each window of units, by matching statistics against indexes.
+
+    `text` holds the units, each closed by 0, `owner` the unit of each symbol,
+    `docs` and `fps` are the units' documents and fingerprints, and `window`, `begin`
+    the unit and first symbol of each window.
+    """
+    order = np.argsort(fps, kind="stable")
+    cuts = np.flatnonzero(np.concatenate([[True], fps[order][1:] != fps[order][:-1]]))
+    low = np.empty_like(docs)
+    low[order] = np.repeat(np.minimum.reduceat(docs[order], cuts), np.diff(np.append(cuts, len(docs))))
+    indexed = docs == low  # sources first
+    found = docs[window]
+    left = np.flatnonzero(~indexed[window])
+    while len(left):
+        part = indexed[owner]
+        index = FMIndex(text[part], sigma, span, docs[owner[part]])
+        missed = []
+        for at in range(0, len(left), 1 << 16):
+            some = left[at : at + (1 << 16)]
+            length, lo, _ = index.matching_statistics(text, begin[some] + span)
+            ok = length == span
+            found[some[ok]] = index.least(lo[ok])
+            missed.append(some[~ok])
+        left = np.concatenate(missed)
+        # what no source holds is searched among the units that hold it
+        indexed = np.zeros(len(docs), bool)
+        indexed[window[left]] = True
+    return found
+
+
 def _shard(span: int):
     def run(shard: pa.Table) -> pa.Table:
-        keys, docs = shard.column("unit"), shard.column("doc").to_numpy()
-        symbols, unit, ends = [], [], []
-        column = shard.column("content").combine_chunks().cast(pa.large_binary()).view(pa.large_string())
+        units, docs, fps = shard.column("unit"), shard.column("doc").to_numpy(), shard.column("fp").to_numpy()
+        names = np.frombuffer(b"".join(units.to_pylist()), np.uint64).reshape(-1, 2)
+        order = np.lexsort((docs, names[:, 1], names[:, 0]))
+        new = np.ones(len(order), bool)
+        new[1:] = (names[order[1:]] != names[order[:-1]]).any(1)
+        once = order[new]  # each unit with its least document
+        docs, fps = docs[once], fps[once]
+        column = shard.column("content").combine_chunks().take(pa.array(once)).cast(pa.large_binary()).view(pa.large_string())
         for i, j, buf, offsets in pieces(column, 1 << 40):
             _, _, firsts, h = scan(buf, offsets)
-        names, ids = np.unique(h, return_inverse=True)
-        row = row_of(firsts)
+        words, ids = np.unique(h, return_inverse=True)
         n = np.diff(firsts)
         text = np.zeros(len(ids) + len(n), np.int64)
-        text[np.arange(len(ids)) + row] = ids + 1  # a 0 closes each unit
-        owner = np.repeat(np.arange(len(n)), n + 1)
-        index = FMIndex(text, len(names) + 1, span)
-        least = np.minimum.reduceat(docs[owner[index.suffixes]], index.groups)
+        text[np.arange(len(ids)) + row_of(firsts)] = ids + 1  # a 0 closes each unit
         windows = np.maximum(n - span + 1, 0)
-        begin = np.repeat(np.cumsum(n + 1) - (n + 1), windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        found = np.empty(len(begin), np.int64)
-        for at in range(0, len(begin), 1 << 16):
-            ends = begin[at : at + (1 << 16)] + span
-            length, lo, _ = index.matching_statistics(text, ends)
-            assert (length == span).all()
-            found[at : at + len(ends)] = least[np.searchsorted(index.groups, lo)]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(windows)]).astype(np.int32)), pa.array(found))
-        return pa.table({"unit": keys, "least": lists})
+        window = np.repeat(np.arange(len(n)), windows)
+        j = np.arange(len(window)) - np.repeat(np.cumsum(windows) - windows, windows)
+        begin = np.repeat(np.cumsum(n + 1) - (n + 1), windows) + j
+        found = first_documents(text, np.repeat(np.arange(len(n)), n + 1), docs, fps, window, begin, len(words) + 1, span)
+        forget()
+        head = np.ones(len(window), bool)
+        head[1:] = (window[1:] != window[:-1]) | (found[1:] != found[:-1])
+        a = np.flatnonzero(head)
+        b = np.append(a[1:], len(window)) - 1
+        return pa.table({
+            "unit": units.combine_chunks().take(pa.array(once[window[a]])), "first": pa.array(j[a].astype(np.int32)),
+            "last": pa.array((j[b] + 1).astype(np.int32)), "least": pa.array(found[a]),
+        })
     return run
 
 
-def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows to cut, as (first, end) word ranges without the window's tail."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        least = batch.column(3)
-        values, sizes = least.flatten().to_numpy(), np.diff(least.offsets.to_numpy())
-        row = np.repeat(np.arange(batch.num_rows), sizes)
-        doc, at = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-        j = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        hit = np.flatnonzero(values < doc[row])
-        if not len(hit):
-            continue
-        new = np.ones(len(hit), bool)
-        new[1:] = (np.diff(hit) != 1) | (row[hit][1:] != row[hit][:-1])
-        a = hit[new]
-        b = hit[np.append(np.flatnonzero(new)[1:] - 1, len(hit) - 1)]
-        r = pa.array(row[a])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(r), batch.column(1).take(r), pa.array((at[row[a]] + j[a]).astype(np.int32)), pa.array((at[row[b]] + j[b] + 1).astype(np.int32))],
-            names=["doc_id", "th", "first", "end"],
-        )
-
-
 def _strip(span: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, gone, digest, kept_text = [], [], [], []
+            whole = batch.column(2).to_pylist()
             for k in range(batch.num_rows):
                 words = (batch.column(1)[k].as_py() or "").encode().split()
-                cuts = batch.column(2)[k]
+                cuts = batch.column(3)[k]
                 kept = words
-                if cuts.is_valid:
+                if whole[k]:
+                    kept = words if len(words) < span else []
+                elif cuts.is_valid:
                     change = np.zeros(len(words) + 1, np.int64)
                     v = cuts.values
                     np.add.at(change, v.field("first").to_numpy(), 1)
@@ -274,47 +333,55 @@ def cut_repeats(documents: DataFrame, span: int = 13, texts: bool = True) -> Dat
     some = base.filter("doc_id is not null and text is not null")
     spots = some.mapInArrow(_spots(span), "fp long, doc_id long, th long, at int, n int")
     shared = materialize(
-        spots.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("fp"), "shared"
+        spots.groupBy("fp").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).filter("lo < hi").select("fp"), "shared"
+    )
+    # equal texts have equal spots: once each, under the least doc_id
+    spotted = materialize(
+        spots.join(shared, "fp", "left_semi").groupBy("th", "at").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id")), "spots"
     )
-    spotted = materialize(spots.join(shared, "fp", "left_semi"), "spots")
     discard(shared)
-    lists = spotted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("fp", "at", "n")).alias("spots"))
+    lists = spotted.groupBy("th").agg(F.min("doc_id").alias("doc_id"), F.collect_list(F.struct("fp", "at", "n")).alias("spots"))
     segments = materialize(
         some.join(lists, ["doc_id", "th"]).select("doc_id", "th", "text", "spots")
-        .mapInArrow(_segments(span), "fp long, doc_id long, th long, at int, n int, content binary")
-        .withColumn("unit", F.substring(F.unhex(F.sha2("content", 256)), 1, 16)),
+        .mapInArrow(_segments(span), "fp long, doc_id long, th long, at int, n int, unit binary, content binary, doc long"),
         "segments",
     )
     discard(spotted)
-    units = materialize(segments.groupBy("unit", "fp").agg(F.min("doc_id").alias("doc"), F.first("content").alias("content")), "units")
-    crowded = units.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT_UNITS).select("fp")
+    units = segments.filter("content is not null").select("fp", "unit", "doc", "content")
+    crowded = materialize(units.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT_UNITS).select("fp"), "crowded")
     single = materialize(
         units.join(crowded, "fp", "left_semi").select("unit", "doc", "content").mapInArrow(_single(span), "unit binary, doc long, j int, content binary")
         .withColumn("window", F.substring(F.unhex(F.sha2("content", 256)), 1, 16)),
         "single",
     )
     loose = single.groupBy("window").agg(F.min("doc").alias("doc"), F.first("content").alias("content"))
-    dealt = units.join(crowded, "fp", "left_anti").select("unit", "doc", "content", F.xxhash64("fp").alias("route")).union(
-        loose.select("window", "doc", "content", F.xxhash64("window").alias("route"))
+    dealt = units.join(crowded, "fp", "left_anti").unionByName(
+        loose.select(F.xxhash64("window").alias("fp"), F.col("window").alias("unit"), "doc", "content")
     )
-    words = units.agg(F.sum(F.length("content"))).first()[0] or 0
-    shards = max(1, int(words / 6 / SHARD_WORDS), spark.sparkContext.defaultParallelism)
+    size = units.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    shards = max(1, int(size / 6 / SHARD_WORDS), spark.sparkContext.defaultParallelism)
     least = materialize(
-        dealt.withColumn("shard", F.pmod("route", F.lit(shards))).groupBy("shard").applyInArrow(
-            lambda t: _shard(span)(t), "unit binary, least array<long>"
+        dealt.withColumn("shard", F.pmod(F.xxhash64("fp"), F.lit(shards))).groupBy("shard").applyInArrow(
+            lambda t: _shard(span)(t), "unit binary, first int, last int, least long"
         ),
         "least",
     )
-    whole = single.select(F.col("unit").alias("owner"), "j", F.col("window").alias("unit")).join(least, "unit").groupBy("owner").agg(
-        F.array_sort(F.collect_list(F.struct("j", F.col("least")[0].alias("d")))).alias("s")
-    ).select(F.col("owner").alias("unit"), F.col("s.d").alias("least"))
-    facts = least.union(whole)
-    cuts = segments.select("doc_id", "th", "at", "unit").join(facts, "unit").select("doc_id", "th", "at", "least").mapInArrow(
-        _cuts, "doc_id long, th long, first int, end int"
+    one = single.select(F.col("unit").alias("owner"), "j", F.col("window").alias("unit")).distinct()
+    whole = one.join(least, "unit").select(F.col("owner").alias("unit"), F.col("j").alias("first"), (F.col("j") + 1).alias("last"), "least")
+    cuts = (
+        segments.select("doc_id", "th", "at", "unit").join(least.unionByName(whole), "unit").filter(F.col("least") < F.col("doc_id"))
+        .select("doc_id", "th", (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("end")).distinct()
+    )
+    found = materialize(cuts.groupBy("th", "doc_id").agg(F.collect_list(F.struct("first", "end")).alias("cuts")), "cuts")
+    discard(segments, crowded, single, least)
+    copies = some.groupBy("th").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("th", "lo")
+    facts = materialize(found.join(copies, "th", "full").select("th", F.col("doc_id").alias("own"), "cuts", "lo"), "facts")
+    discard(found)
+    met = base.join(facts, "th", "left").select(
+        "doc_id", "text", F.coalesce(F.col("doc_id") > F.col("lo"), F.lit(False)).alias("whole"), F.when(F.col("doc_id") == F.col("own"), F.col("cuts")).alias("cuts")
     )
-    found = materialize(cuts.distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "end")).alias("cuts")), "cuts")
-    discard(segments, units, single, least)
-    return base.join(found, ["doc_id", "th"], "left").select("doc_id", "text", "cuts").mapInArrow(
+    bound_batches(spark)
+    return met.mapInArrow(
         _strip(span, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )
 

@@ -44,6 +44,13 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["pow"][:n], _powers["inv"][:n]
 
 
+def forget(keep: int = 2 * PIECE_BYTES) -> None:
+    """Drop the tables of powers that a very long text has left behind."""
+    if len(_powers["pow"]) > keep:
+        for key in _powers:
+            _powers[key] = _powers[key][:keep].copy()
+
+
 def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) for runs of rows of at most `limit` bytes. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
