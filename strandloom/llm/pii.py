@@ -1,18 +1,25 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
-Patterns give the base spans. The field then labels tokens that hold a digit or an
-"@": neighbouring tokens are linked as a chain, and tokens with the same digits or
-letters as an earlier one of the document are linked to it, however far (skip
-edges). Loopy belief propagation spreads labels over both kinds of edge. Tokens that
+Patterns give the base spans. The field labels tokens that hold a digit or an "@":
+neighbouring tokens are linked as a chain; tokens that repeat or resemble another of
+the document, however far, are linked to one of them (skip edges): equal digits,
+equal last seven digits, equal address or equal name before the "@". Loopy message
+passing, run until it settles, spreads labels over both kinds of edge. Tokens that
 base spans cover are evidence; others that reach `certain` for a kind become
-further spans. Weights are learned from base spans on a bounded sample of documents
-by pseudo-likelihood, with the pattern match itself kept from the features.
+further spans: a phone number without its "+", the tail of a card number, an
+address that lost its domain's end, where the document names the whole elsewhere.
+
+Weights are learned by pseudo-likelihood on a bounded sample of documents, whose
+labels are the patterns' matches. So that the field learns more than the patterns
+know, copies of sampled tokens, without what the pattern needs, are added to the
+sample with the original's label and a skip edge to it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound_batches, table
 from .words import SPACE, pieces
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+#: A match can start only where a run of digits does: from within it, the rest would be the same.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MAILISH = re.compile(r"[A-Za-z0-9._%+@-]+")
 BUCKETS = 512
@@ -45,13 +53,24 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def addresses(run: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the addresses in a run of address characters and "@", in one pass over its "@"s."""
+    start, at = 0, run.find("@")
+    while at >= 0:
+        found = DOMAIN.match(run, at + 1) if at > start else None
+        if found:
+            yield start, found.end()
+        start = found.end() if found else at + 1
+        at = run.find("@", start)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the patterns' matches that pass their checks, in order."""
+    """(start, kind, end) of the patterns' matches that pass their checks, in order; time is linear in the text."""
     out = []
     if "@" in text:
         for run in MAILISH.finditer(text):
             if "@" in run[0]:
-                out += [(run.start() + m.start(), 0, run.start() + m.end()) for m in EMAIL.finditer(run[0])]
+                out += [(run.start() + a, 0, run.start() + b) for a, b in addresses(run[0])]
     for m in IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
             out.append((m.start(), 1, m.end()))
@@ -61,7 +80,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             out.append((m.start(), 2, m.end()))
     if "+" in text:
         for m in PHONE.finditer(text):
-            if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
+            if 10 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
                 out.append((m.start(), 3, m.end()))
     return sorted(out)
 
@@ -69,20 +88,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def shape(token: str) -> str:
     token = re.sub(r"[a-z]+", "a", token.lower())
     token = re.sub(r"[^\x00-\x7F]+", "u", token)
-    return re.sub(r"\d+", lambda m: "9" if len(m[0]) < 5 else "9" * min(6, 2 + len(m[0]) // 4), token)
+    return re.sub(r"[0-9]+", lambda m: "9" if len(m[0]) < 5 else "9" * min(6, 2 + len(m[0]) // 4), token)
 
 
 def _bucket(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest(), "little") % BUCKETS
 
 
+def _digits(token: str) -> str:
+    return re.sub(r"[^0-9]", "", token)
+
+
 def features(token: str) -> list[int]:
-    digits = re.sub(r"\D", "", token)
-    parts = token.split(".")
+    digits = _digits(token)
+    quad = re.fullmatch(r"([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})", token)
     found = [
         "bias", f"shape {shape(token)[:40]}", f"digits {min(len(digits), 20)}",
         f"luhn {14 <= len(digits) <= 19 and luhn(digits)} {len(digits) > 12}",
-        f"quad {len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)}",
+        f"quad {bool(quad) and all(int(x) < 256 for x in quad.groups())}",
         f"at {'@' in token} {'.' in token.rpartition('@')[2]}", f"plus {token[:1] == '+'}",
     ]
     return [_bucket(x) for x in found]
@@ -91,15 +114,53 @@ def features(token: str) -> list[int]:
 FEATURES = 7
 
 
+def keys(token: str) -> list[str]:
+    """What a token shares with its repeats and with tokens like it."""
+    if "@" in token:
+        name = token.lower().partition("@")[0]
+        return [token.lower()] + ([name + "@"] if len(name) > 2 else [])
+    digits = _digits(token)
+    letters = re.search(r"[^\W0-9_]", token)
+    if letters or len(digits) < 4:
+        return [token.lower()] if len(token) > 3 else []
+    return ["=" + digits] + (["-" + digits[-7:]] if len(digits) >= 7 else [])
+
+
+def without_pattern(token: str, kind: int) -> str:
+    """`token` of a match of `kind`, without what its pattern needs."""
+    if kind == 1:  # an address as it stands in a host name
+        return token.replace(".", "-")
+    if kind == 2:  # the last digits
+        return _digits(token)[-10:]
+    if kind == 3:
+        return _digits(token)[-10:]
+    name, _, host = token.partition("@")
+    return f"{name}@{host.partition('.')[0]}"
+
+
 class Nodes:
-    """Tokens of the texts of a piece, with features, evidence and edges."""
+    """Tokens of the texts of a piece, with features, evidence and edges.
 
-    def __init__(self, texts: list[str], spans: list[list[tuple[int, int, int]]], tokens: list[list[tuple[int, int]]]):
+    With `copies`, as training has it, a copy of each match without what its pattern
+    needs, and of one in so many other tokens, joins the end of its text.
+    """
+
+    def __init__(self, texts: list[str], spans: list[list[tuple[int, int, int]]], tokens: list[list[tuple[int, int]]], copies: int = 0):
         self.row, self.start, self.end, feats, label = [], [], [], [], []
         chain, skip = [], []
         for r, (text, base, found) in enumerate(zip(texts, spans, tokens)):
-            seen: dict[str, int] = {}
-            at = 0
+            shared: dict[str, list[int]] = {}
+            at, extra = 0, []
+
+            def add(core: str, a: int, b: int, hit: int) -> None:
+                for key in keys(core):
+                    shared.setdefault(key, []).append(len(self.row))
+                self.row.append(r)
+                self.start.append(a)
+                self.end.append(b)
+                feats.append(features(core))
+                label.append(hit)
+
             for a, b in found:
                 word = text[a:b]
                 core = word.strip("\"'()[]{}<>.,;:!?*#$%&|=")
@@ -107,27 +168,26 @@ class Nodes:
                     continue
                 a += word.index(core)
                 b = a + len(core)
-                node = len(self.row)
-                if self.row and self.row[-1] == r:
-                    gap = a - self.end[-1]
-                    if gap <= 40:
-                        chain.append((node - 1, node))
+                if self.row and self.row[-1] == r and a - self.end[-1] <= 40:
+                    chain.append((len(self.row) - 1, len(self.row)))
                 while at < len(base) and base[at][2] <= a:
                     at += 1
-                hit = next((k + 1 for s, k, e in base[at : at + 4] if s < b and e > a), 0)
-                key = re.sub(r"\D", "", core) if "@" not in core else core.lower()
-                if len(key) > 3:
-                    if key in seen:
-                        skip.append((seen[key], node))
-                    seen[key] = node
-                self.row.append(r)
-                self.start.append(a)
-                self.end.append(b)
-                feats.append(features(core))
-                label.append(hit)
+                span = next((x for x in base[at : at + 4] if x[0] < b and x[2] > a), None)
+                hit = span[1] + 1 if span else 0
+                add(core, a, b, hit)
+                if copies and span and b >= span[2]:
+                    extra.append((without_pattern(text[span[0] : span[2]], span[1]), hit))
+                elif copies and not span and zlib.crc32(core.encode()) % copies == 0:
+                    extra.append((core, hit))
+            for core, hit in extra:
+                add(core, -1, -1, hit)
+            for alike in shared.values():
+                # a hub, evidence if there is any: labels need two steps, however many repeats there are
+                hub = next((n for n in alike if label[n]), alike[0])
+                skip += [(hub, n) for n in alike if n != hub]
         self.features = np.array(feats, np.int64).reshape(-1, FEATURES)
         self.label = np.array(label, np.int64)
-        self.chain, self.skip = (np.array(e, np.int64).reshape(-1, 2) for e in (chain, skip))
+        self.chain, self.skip = (np.array(sorted(set(e)), np.int64).reshape(-1, 2) for e in (chain, skip))
 
 
 class SkipChainCRF:
@@ -137,7 +197,7 @@ class SkipChainCRF:
         self.unary = np.zeros((BUCKETS, LABELS))
         self.pair = np.zeros((2, LABELS, LABELS))
 
-    def fit(self, feats: np.ndarray, label: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = 200, rate: float = 0.5, decay: float = 1e-3) -> "SkipChainCRF":
+    def fit(self, feats: np.ndarray, label: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = 400, rate: float = 0.5, decay: float = 2e-4) -> "SkipChainCRF":
         """Pseudo-likelihood: each label given its features and its neighbours' labels."""
         if not len(label):
             return self
@@ -161,8 +221,12 @@ class SkipChainCRF:
         self.pair = (self.pair + self.pair.transpose(0, 2, 1)) / 2
         return self
 
-    def marginals(self, nodes: Nodes, rounds: int = 10, evidence: float = 12.0) -> np.ndarray:
-        """Label probabilities after loopy belief propagation; covered nodes are evidence."""
+    def marginals(self, nodes: Nodes, rounds: int = 200, settled: float = 1e-3, evidence: float = 12.0) -> np.ndarray:
+        """Label probabilities after loopy belief propagation; covered nodes are evidence.
+
+        Messages are halved with their last value and sent until none changes by
+        `settled`; `rounds` stops a graph on which they never do.
+        """
         base = self.unary[nodes.features].sum(1)
         base[np.arange(len(base)), nodes.label] += evidence * (nodes.label > 0)
         ends = np.concatenate([nodes.chain, nodes.skip, nodes.chain[:, ::-1], nodes.skip[:, ::-1]])
@@ -178,9 +242,12 @@ class SkipChainCRF:
                 top = z.max(1)
                 sent = top + np.log(np.exp(z - top[:, None]).sum(1))
                 sent -= sent.max(1, keepdims=True)
+                change = np.abs(sent - message).max()
                 message = 0.5 * message + 0.5 * sent
                 belief = base.copy()
                 np.add.at(belief, ends[:, 1], message)
+                if change < settled:
+                    break
         p = np.exp(belief - belief.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
@@ -192,7 +259,7 @@ def marked_tokens(buf: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int,
     mark = np.flatnonzero(_MARK[buf])
     if not len(mark):
         return out
-    edge = ~SPACE[buf]
+    edge = SPACE[buf]  # bytes of words
     edges = np.zeros(len(buf) + 1, bool)
     edges[offsets] = True
     starts = np.flatnonzero(edge & (np.concatenate([[True], ~edge[:-1]]) | edges[:-1]))
@@ -217,7 +284,7 @@ def training_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Per sampled document with marks: its nodes' features, labels and edges, flat."""
     for batch in batches:
         for i, j, buf, offsets in pieces(batch.column(0), 1 << 17):
-            nodes = Nodes(*_read(batch.column(0), buf, offsets, i, j))
+            nodes = Nodes(*_read(batch.column(0), buf, offsets, i, j), copies=4)
             if len(nodes.label):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x.ravel().tolist()], pa.list_(pa.int64())) for x in (nodes.features, nodes.label, nodes.chain, nodes.skip)],
@@ -255,60 +322,92 @@ def redact(text: str, spans) -> str:
     return "".join(out) + text[at:]
 
 
+def all_spans(model: SkipChainCRF, certain: float, column: pa.Array, i: int, j: int, buf: np.ndarray, offsets: np.ndarray):
+    """Texts with a mark (others empty), their base spans, and the field's further spans by row."""
+    texts, spans, tokens = _read(column, buf, offsets, i, j)
+    nodes = Nodes(texts, spans, tokens)
+    added: dict[int, list[tuple[int, int, int]]] = {}
+    if len(nodes.label):
+        p = model.marginals(nodes)
+        kind = p[:, 1:].argmax(1)
+        for n in np.flatnonzero((nodes.label == 0) & (p[:, 1:].max(1) >= certain)).tolist():
+            own = added.setdefault(nodes.row[n], [])
+            if own and own[-1][1] == kind[n] and nodes.start[n] - own[-1][2] <= 2:  # parts of one number
+                own[-1] = (own[-1][0], int(kind[n]), nodes.end[n])
+            else:
+                own.append((nodes.start[n], int(kind[n]), nodes.end[n]))
+    return texts, spans, added
+
+
 def _find(model: SkipChainCRF, certain: float, texts_out: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "redacted"]
+        names = ["row", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "redacted"]
         for batch in batches:
             column = batch.column(1)
             for i, j, buf, offsets in pieces(column):
-                texts, spans, tokens = _read(column, buf, offsets, i, j)
-                nodes = Nodes(texts, spans, tokens)
-                added: dict[int, list] = {}
-                if len(nodes.label):
-                    p = model.marginals(nodes)
-                    kind = p[:, 1:].argmax(1)
-                    for n in np.flatnonzero((nodes.label == 0) & (p[:, 1:].max(1) >= certain)).tolist():
-                        added.setdefault(nodes.row[n], []).append((nodes.start[n], int(kind[n]), nodes.end[n]))
-                out = [[] for _ in range(7)]
+                texts, spans, added = all_spans(model, certain, column, i, j, buf, offsets)
+                out = [[] for _ in range(8)]
                 for r, base in enumerate(spans):
-                    text = spans_text(base)
                     every = sorted(base + added[r]) if r in added else base
                     for k in range(4):
                         out[k].append(sum(x[1] == k for x in base))
-                    out[4].append(hashlib.sha256(text.encode()).hexdigest())
+                    out[4].append(hashlib.sha256(spans_text(base).encode()).hexdigest())
                     out[5].append(spans_text(every))
-                    out[6].append((redact(texts[r], every) if every else column[i + r].as_py()) if texts_out else None)
+                    out[6].append(len(every) - len(base))
+                    out[7].append((redact(texts[r], every) if every else column[i + r].as_py()) if texts_out else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), *(pa.array(c, pa.int64()) for c in out[:4]), *(pa.array(c, pa.string()) for c in out[4:])], names=names
+                    [batch.column(0).slice(i, j - i), *(pa.array(c, pa.int64()) for c in out[:4]), *(pa.array(c, pa.string()) for c in out[4:6]),
+                     pa.array(out[6], pa.int64()), pa.array(out[7], pa.string())], names=names
                 )
     return run
 
 
-OUT = ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, redacted string"
+def _changed(model: SkipChainCRF, certain: float):
+    """A function of a text column: redacted texts, null where nothing changes."""
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            out: list[str | None] = [None] * len(column)
+            for i, j, buf, offsets in pieces(column):
+                texts, spans, added = all_spans(model, certain, column, i, j, buf, offsets)
+                for r, base in enumerate(spans):
+                    if base or r in added:
+                        out[i + r] = redact(texts[r], sorted(base + added.get(r, [])))
+            yield pa.array(out, pa.string())
+
+    return F.arrow_udf(run, "string").asNondeterministic()  # so that the planner never runs it twice on a text
+
+
+OUT = ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long, redacted string"
 
 
 def find_personal(documents: DataFrame, model: SkipChainCRF | None = None, certain: float = 0.95, texts: bool = True) -> DataFrame:
     """Personal data in every (doc_id, text) row.
 
-    Returns (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, redacted):
-    counts and digest of the pattern matches, all spans as kind:start:end in code
-    points, and, if `texts`, the text with spans replaced. A null text has no spans
-    and stays null. Rows are independent, so repeated rows and ids give repeated
-    results; other columns are ignored; an empty table gives no rows. The document
-    is read whole, whatever its length.
+    Returns (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added,
+    redacted): counts and digest of the pattern matches, all spans as
+    kind:start:end in code points, how many of them the field added, and, if
+    `texts`, the text with spans replaced. A null text has no spans and stays null.
+    Rows are independent, so repeated rows and ids give repeated results; other
+    columns are ignored; an empty table gives no rows. The document is read whole,
+    whatever its length.
     """
     model = model or train(documents)
-    return documents.select(F.col("doc_id").alias("row"), "text").mapInArrow(_find(model, certain, texts), f"row long, {OUT}").withColumnRenamed("row", "doc_id")
+    bound_batches(documents.sparkSession)
+    return documents.select(F.col("doc_id").alias("row"), "text").mapInArrow(_find(model, certain, texts), f"row {documents.schema['doc_id'].dataType.simpleString()}, {OUT}").withColumnRenamed("row", "doc_id")
 
 
 def redact_documents(documents: DataFrame, model: SkipChainCRF | None = None, certain: float = 0.95) -> DataFrame:
-    """`documents`, all columns, with spans in text replaced by their kind; n_chars follows where there is one."""
+    """`documents`, all columns as they are, with spans in text replaced by their kind; n_chars follows where there is one.
+
+    Only texts go to Python, and only those that change come back. A null text stays null.
+    """
     model = model or train(documents)
+    bound_batches(documents.sparkSession)
     names = documents.columns
-    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text")
-    found = packed.mapInArrow(_find(model, certain, True), f"row {packed.schema['row'].dataType.simpleString()}, {OUT}")
-    new = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast("long")}
-    return found.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in names])
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), _changed(model, certain)("text").alias("new"))
+    text = F.coalesce("new", "row.text")
+    changed = {"text": text, "n_chars": F.when(F.col("new").isNull(), F.col("row.n_chars")).otherwise(F.length("new").cast("long")) if "n_chars" in names else None}
+    return rows.select(*[(changed[c] if c in changed else F.col(f"row.`{c}`")).alias(c) for c in names])
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
