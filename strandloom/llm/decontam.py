@@ -16,8 +16,10 @@ from .common import materialize, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Fingerprints of items are broadcast up to so many rows (16 bytes each); beyond, the join shuffles.
-BROADCAST_ROWS = 1 << 20
+#: What is broadcast has at most so many bytes, counted first; beyond, the join shuffles.
+BROADCAST_BYTES = 16 << 20
+#: Words of a text whose hits are counted together; a long text is many such ranges.
+RANGE = 1024
 
 
 def word_list(text: Column) -> Column:
@@ -77,8 +79,9 @@ def _short_marks(words: str, size: int) -> Column:
 
 
 def benchmark_hits(documents: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 9) -> DataFrame:
-    """(digest, n_hit, ids) for each distinct text of `documents` with a hit; digest is the text's SHA-256.
+    """(digest, n_hit, whole, ids) for each distinct text of `documents` with a hit; digest is the text's SHA-256.
 
+    whole says whether a hit window has `span` words and is not a shorter item.
     ids are the item_ids as strings, sorted. See `decontaminate` for the rules.
     """
     items = materialize(
@@ -86,15 +89,17 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, span: int = 13, k
         .filter("size(words) > 0").withColumn("size", F.least(F.size("words"), F.lit(span))),
         "items",
     )
-    grams = items.select("item_id", "size", F.explode_outer(_windows("words", F.col("size"))).alias("g")).select(
-        "item_id", "size", F.col("g.window").alias("window")
-    ).distinct()
+    grams = materialize(
+        items.select("item_id", "size", F.explode_outer(_windows("words", F.col("size"))).alias("g"))
+        .select("item_id", "size", F.col("g.window").alias("window")).distinct(),
+        "grams",
+    )
     long = fingerprints(items.filter(f"size = {span}"), "words", span, k).select(F.explode_outer("fps").alias("fp")).filter("fp is not null")
     # a short item is anchored by the hash of its words as one gram of that many words
     short = items.filter(f"size < {span}").select(F.xxhash64(F.lit(-1), F.array_join("words", " ")).alias("fp"))
     marks = materialize(long.union(short).distinct(), "marks")
     sizes = [r[0] for r in items.select("size").filter(f"size < {span}").distinct().collect()]  # at most span - 1 rows
-    small = marks.count() <= BROADCAST_ROWS
+    small = marks.count() * 16 <= BROADCAST_BYTES
 
     texts = documents.select("text").filter("text is not null").withColumn("words", word_list(F.col("text")))
     texts = fingerprints(texts, "words", span, k)
@@ -115,21 +120,26 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, span: int = 13, k
     for c in cut[1:]:
         windows = windows.union(c)
     keys = grams.select("window", "size").distinct()
-    hits = materialize(windows.join(F.broadcast(keys) if small else keys, ["window", "size"]), "hits")
+    few = (grams.agg(F.sum(F.octet_length("window") + 32)).first()[0] or 0) <= BROADCAST_BYTES
+    hits = materialize(windows.join(F.broadcast(keys) if few else keys, ["window", "size"]), "hits")
     # words covered by a hit window, each once: a window adds what the earlier ones of its text have not reached
     from pyspark.sql import Window as W
 
-    ends = hits.groupBy("digest", "at").agg(F.max(F.col("at") + F.col("size")).alias("end"))
-    reach = F.max("end").over(W.partitionBy("digest").orderBy("at").rowsBetween(W.unboundedPreceding, -1))
-    covered = ends.withColumn("_reach", F.coalesce(reach, F.lit(0))).groupBy("digest").agg(
-        F.sum(F.greatest(F.col("end") - F.greatest("at", "_reach"), F.lit(0))).alias("n_hit")
+    ends = hits.groupBy("digest", "at").agg(F.max(F.col("at") + F.col("size")).alias("end"), F.max(F.col("size") == span).alias("whole"))
+    # each range of a text is counted apart; a hit over a range's end counts in both, with its own part
+    parts = ends.withColumn("range", F.explode(F.sequence(F.floor(F.col("at") / RANGE), F.floor((F.col("end") - 1) / RANGE)))).select(
+        "digest", "range", "whole", F.greatest("at", F.col("range") * RANGE).alias("at"), F.least("end", (F.col("range") + 1) * RANGE).alias("end")
+    )
+    reach = F.max("end").over(W.partitionBy("digest", "range").orderBy("at", "end").rowsBetween(W.unboundedPreceding, -1))
+    covered = parts.withColumn("_reach", F.coalesce(reach, F.lit(0))).groupBy("digest").agg(
+        F.sum(F.greatest(F.col("end") - F.greatest("at", "_reach"), F.lit(0))).alias("n_hit"), F.max("whole").alias("whole")
     )
     named = (
         hits.select("digest", "window", "size").distinct().join(grams, ["window", "size"])
         .select("digest", "item_id").filter("item_id is not null").distinct()
         .groupBy("digest").agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
     )
-    return covered.join(named, "digest", "left").select("digest", F.col("n_hit").cast("long").alias("n_hit"), "ids")
+    return covered.join(named, "digest", "left").select("digest", F.col("n_hit").cast("long").alias("n_hit"), "whole", "ids")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 9, share: int = 20) -> DataFrame:
@@ -155,13 +165,22 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, span: int = 13, k:
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, span: int = 13, k: int = 9, share: int = 20) -> DataFrame:
-    """The rows of `documents`, all columns, that `decontaminate` does not call contaminated."""
-    hits = materialize(benchmark_hits(documents, benchmark, span, k).select(F.unhex("digest").alias("_digest"), F.col("n_hit").alias("_hit")), "hits")
-    if hits.count() <= BROADCAST_ROWS // 8:  # 40 bytes a row; beyond that, texts are shuffled
+    """The rows of `documents`, all columns as they are, that no benchmark passage has leaked into.
+
+    A row goes if it holds any `span` words of an item, however long it is, or if
+    `decontaminate` calls it contaminated: items of fewer words are too common for
+    one hit in a long text to tell. Rows with a null text, and repeated rows, stay
+    or go by their own text.
+    """
+    hits = materialize(
+        benchmark_hits(documents, benchmark, span, k).select(F.unhex("digest").alias("digest"), F.col("n_hit").alias("hit"), "whole"), "hits"
+    )
+    if hits.count() * 64 <= BROADCAST_BYTES:  # beyond that, texts are shuffled
         hits = F.broadcast(hits)
-    met = documents.withColumn("_own", F.unhex(F.sha2("text", 256))).join(hits, F.col("_own") == F.col("_digest"), "left")
-    clean = F.col("_hit").isNull() | (share * F.col("_hit") < word_count(F.col("text")))
-    return met.filter(clean).select(*[F.col(f"`{c}`") for c in documents.columns])
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    met = rows.join(hits, F.unhex(F.sha2(F.col("row.text"), 256)) == F.col("digest"), "left")
+    clean = F.col("digest").isNull() | (~F.col("whole") & (share * F.col("hit") < word_count(F.col("row.text"))))
+    return met.filter(clean).select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,20 @@ def decontaminate(docs, items, span=13):
     return out
 
 
+def leaked(docs, items, span=13):
+    """Ids of documents that hold a whole window of `span` words, or that `decontaminate` calls contaminated."""
+    windows = set()
+    for _, text in items:
+        w = LETTERS.findall(lower(text))
+        windows |= {tuple(w[i : i + span]) for i in range(len(w) - span + 1)}
+    out = {r[0] for r in decontaminate(docs, items, span) if r[5]}
+    for d, text in docs:
+        w = LETTERS.findall(lower(text))
+        if any(tuple(w[i : i + span]) in windows for i in range(len(w) - span + 1)):
+            out.add(d)
+    return out
+
+
 def cut_repeats(docs, span=13):
     first = {}
     words = [(d, SPACED.findall(t or "")) for d, t in docs]
@@ -83,3 +97,29 @@ def cut_repeats(docs, span=13):
 
 def crc(ids):
     return zlib.crc32(b"".join(int(i).to_bytes(4, "little") for i in ids))
+
+
+PATTERNS = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def base_spans(text):
+    """(start, kind number, end) of the patterns' matches that pass their checks."""
+    out = []
+    for k, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in pattern.finditer(text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip":
+                ok = all(int(x) <= 255 for x in m[0].split("."))
+            elif kind == "card":
+                twice = [int(d) * (1 + i % 2) for i, d in enumerate(digits[::-1])]
+                ok = 14 <= len(digits) <= 19 and sum(x - 9 * (x > 9) for x in twice) % 10 == 0
+            else:
+                ok = kind == "email" or 10 <= len(digits) <= 15
+            if ok:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)

@@ -87,7 +87,7 @@ def test_decontamination(spark, short):
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
     assert got(decontam.decontaminate(frame(spark, rows), bench)) == sorted(brute.decontaminate(rows, items))
     clean = decontam.drop_contaminated(frame(spark, rows), bench)
-    assert sorted(r["doc_id"] for r in clean.collect()) == sorted(r[0] for r in brute.decontaminate(rows, items) if not r[5])
+    assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in rows} - brute.leaked(rows, items)
 
 
 def test_decontamination_odd_rows(spark):
@@ -100,6 +100,34 @@ def test_decontamination_odd_rows(spark):
     assert decontam.decontaminate(rows, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_passage_in_a_long_document(spark):
+    rng = random.Random(8)
+    filler = lambda n: " ".join(f"f{rng.randrange(10**6)}" for _ in range(n))
+    item = " ".join(VOCABULARY[100:140])
+    cut = lambda a, b: " ".join(VOCABULARY[a:b])
+    rows = [(1, f"{filler(3000)} {cut(110, 123)} {filler(2000)}"), (2, f"{filler(3000)} {cut(110, 122)} {filler(2000)}"), (3, filler(5000)), (4, None), (4, None), (5, f"short word {filler(200)}")]
+    bench = spark.createDataFrame([(1, item), (2, "short word"), (3, None)], "item_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("_own", "_hit", "digest", "whole", "row", "a.b", "_digest", "hit", "item_id"):
+        df = df.withColumn(c, F.lit(c))
+    out = decontam.drop_contaminated(df, bench)
+    assert out.columns == df.columns
+    kept = out.collect()
+    assert sorted(r["doc_id"] for r in kept) == [2, 3, 4, 4, 5] and all(r["_own"] == "_own" and r["a.b"] == "a.b" for r in kept)
+    hits = {r["doc_id"]: r["n_hit"] for r in decontam.decontaminate(df, bench).collect()}
+    assert hits == {1: 13, 2: 0, 3: 0, 4: 0, 5: 2}
+
+
+def test_hits_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "RANGE", 10)
+    rows, items = texts(6), [(1, " ".join(VOCABULARY[:60])), (2, "w1 w2")]
+    rows.append((500, " ".join(VOCABULARY[:60] + VOCABULARY[300:340] + VOCABULARY[20:50])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert got(decontam.decontaminate(frame(spark, rows), bench)) == sorted(brute.decontaminate(rows, items))
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
+    assert got(decontam.decontaminate(frame(spark, rows), bench)) == sorted(brute.decontaminate(rows, items))
+
+
 def test_decontamination_runs_no_python(spark):
     rows = frame(spark, texts(1, 3))
     plan = decontam.decontaminate(rows, rows.select(F.col("doc_id").alias("item_id"), "text"))._jdf.queryExecution().executedPlan().toString()
@@ -122,6 +150,46 @@ def test_cut_repeats_odd_rows(spark):
     assert substrings.cut_repeats(frame(spark, [])).count() == 0
 
 
+def test_many_equal_rows(spark, monkeypatch):
+    made = []
+    keep = substrings.materialize
+    monkeypatch.setattr(substrings, "materialize", lambda df, what: made.append((what, t := keep(df, what), t.count())) or t)
+    body = " ".join(VOCABULARY[:120])
+    rows = [(7, body)] * 500 + [(100 + i, body) for i in range(500)] + [(5, "head " + body), (9, body + " tail"), (2000, "one " * 12), (2001, "one " * 12)]
+    out = substrings.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id", "n_words", "n_removed", "kept_text").count().collect()
+    assert {(r["doc_id"], r["n_words"], r["n_removed"], r["count"]) for r in out if r["doc_id"] < 100} == {(7, 120, 120, 500), (5, 121, 0, 1), (9, 121, 120, 1)}
+    assert sum(r["count"] for r in out if r["doc_id"] >= 100 and r["n_removed"] == 120) == 500
+    assert sorted(r["n_removed"] for r in out if r["doc_id"] >= 2000) == [0, 0]
+    sizes = {what: n for what, _, n in made}
+    assert sizes["segments"] <= 510 * 110 and sizes["spots"] < 400  # in proportion to rows, whatever the copies
+
+
+def test_sources_decide_and_the_rest_is_searched_again(monkeypatch):
+    import numpy as np
+
+    seen = []
+    search = substrings.FMIndex.matching_statistics
+    monkeypatch.setattr(substrings.FMIndex, "matching_statistics", lambda self, *a: seen.append((self.size, r := search(self, *a))) or r)
+    rng = np.random.default_rng(3)
+    span, sigma = 4, 5
+    units = [rng.integers(1, sigma, rng.integers(4, 9)) for _ in range(60)]
+    docs = rng.integers(0, 12, 60)
+    fps = np.zeros(60, np.int64)  # one fingerprint: only the least document's units are sources
+    text = np.concatenate([np.append(u, 0) for u in units])
+    owner = np.repeat(np.arange(60), [len(u) + 1 for u in units])
+    window = np.repeat(np.arange(60), [len(u) - span + 1 for u in units])
+    begin = np.concatenate([np.flatnonzero(owner == k)[: len(u) - span + 1] for k, u in enumerate(units)])
+    found = substrings.first_documents(text, owner, docs, fps, window, begin, sigma, span)
+    keys = [tuple(text[b : b + span]) for b in begin]
+    least = {}
+    for key, w in zip(keys, window):
+        least[key] = min(least.get(key, 99), docs[w])
+    assert found.tolist() == [least[k] for k in keys]
+    first = seen[0][1][0]
+    assert (first == span).any() and (first < span).any()  # some windows are found among the sources, some only later
+    assert seen[-1][0] < len(text) and (seen[-1][1][0] == span).all()
+
+
 def test_matching_statistics():
     import numpy as np
 
