@@ -409,7 +409,9 @@ def keep_rows(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFr
         .groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_row")).alias("best"))
         .select("best._row")
     )
-    return documents.withColumn("_row", row).join(best, "_row", "left_semi").dropDuplicates(["_row", "doc_id", "text"]).drop("_row")
+    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), row.alias("_row"), "doc_id", "text")
+    kept = whole.join(best, "_row", "left_semi").dropDuplicates(["_row", "doc_id", "text"])
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])
 
 
 def keep_one(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

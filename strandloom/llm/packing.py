@@ -40,24 +40,30 @@ def _encoder(path: str):
 
     The ranks beside it, if it has them, are the same vocabulary for a faster
     encoder with the same ids. Texts that hold a special token's string go to the
-    full tokenizer.
+    full tokenizer, which is loaded when the first such text comes.
     """
+    import json
     import os
 
-    from tokenizers import Tokenizer
+    @lru_cache(1)
+    def full():
+        from tokenizers import Tokenizer
 
-    full = Tokenizer.from_file(path)
-    special = [t.content for t in full.get_added_tokens_decoder().values()]
+        return Tokenizer.from_file(path)
+
+    slow = lambda text: full().encode(text, add_special_tokens=False).ids
     ranks = os.path.splitext(path)[0] + ".tiktoken"
-    slow = lambda text: full.encode(text, add_special_tokens=False).ids
     if not os.path.exists(ranks):
         return slow
     import public_tokenizers
     import tiktoken
 
+    with open(path, encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f).get("added_tokens", [])]
     with open(ranks, "rb") as f:
         table_ = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_, special_tokens={})
+    del table_
 
     def encode(text: str):
         return slow(text) if any(s in text for s in special) else fast.encode_to_numpy(text)

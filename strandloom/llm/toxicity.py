@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .words import LOWER, SPACE, mix, pieces, row_of, scan
+from .common import bound_batches, table
+from .words import LOWER, SPACE, forget, mix, pieces, row_of, scan
 
 WORDS, CHARS, WIDTH, HIDDEN = 8192, 8192, 16, 12
 WINDOW, STRIDE = 32, 24
@@ -316,21 +316,25 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 1500, max_chars
 
 
 def _scores(params: dict):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network()
-        net.p = params
-        blank = float(_sigmoid(params["bo"][0]))
-        for batch in batches:
-            for i, j, buf, offsets in pieces(batch.column(1)):
+    """A function of a text column: scores, as an Arrow function that sees the texts alone."""
+    net = Network()
+    net.p = params
+    blank = float(_sigmoid(params["bo"][0]))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            out = np.full(len(column), min(blank, 0.5))
+            for i, j, buf, offsets in pieces(column):
                 lex = Lexicon(buf, offsets)
                 row, start, size = window_starts(lex.firsts, FINE)
-                out = np.full(j - i, min(blank, 0.5))
                 if len(row):
                     logit = score_windows(net, lex, start, size).astype(np.float64)
                     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                    out[row[first]] = _sigmoid(np.maximum.reduceat(logit, first))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(out)], names=["row", "score"])
-    return run
+                    out[i + row[first]] = _sigmoid(np.maximum.reduceat(logit, first))
+            forget()
+            yield pa.array(out)
+
+    return F.arrow_udf(run, "double").asNondeterministic()  # so that the planner never scores a text twice
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -338,16 +342,20 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0
 
     A null, empty or blank text has no window and gets the network's resting score,
     0.5 at most. Rows are scored one by one, so repeated rows score alike; a column
-    already called score or predicted is replaced. No usable labels: every text scores
-    low. An empty table gives no rows.
+    already called score or predicted is replaced (`drop_toxic` keeps it). No usable
+    labels: every text scores low. An empty table gives no rows.
     """
     net = train(documents, labels)
-    rows = documents.drop("score", "predicted")
-    names = rows.columns  # carried as a struct, whatever they are called
-    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text")
-    kinds = packed.schema["row"].dataType.simpleString()
-    scored = packed.mapInArrow(_scores(net.p), f"row {kinds}, score double")
-    return scored.select("row.*", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))
+    bound_batches(documents.sparkSession)
+    scored = documents.drop("score", "predicted").withColumn("score", _scores(net.p)("text"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int"))
+
+
+def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of `documents`, all columns as they are, that score under `threshold`."""
+    net = train(documents, labels)
+    bound_batches(documents.sparkSession)
+    return documents.filter(_scores(net.p)("text") < threshold)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
