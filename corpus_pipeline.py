@@ -8,7 +8,6 @@ Parquet and read again before the next. All but the last keep the columns of
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandloom.llm import decontam, minhash, packing, pii, toxicity
 from strandloom.llm.common import materialize, table
@@ -18,8 +17,7 @@ from strandloom.shipping import ship
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity network does not reject."""
     ship(spark)
-    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
-    return scored.filter(F.col("predicted") == 0).select(*docs.columns)
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark contamination."""
+    """Documents that hold no passage of a benchmark item."""
     ship(spark)
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
