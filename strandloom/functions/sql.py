@@ -16,15 +16,16 @@ def _positions(canonical: bool, kind: str):
     def run(seq: pd.Series, k: pd.Series, w: pd.Series) -> pd.Series:
         from strandloom.functions import kernel
 
-        out = []
-        for s, a, b in zip(seq, k, w):
-            if s is None:
-                out.append(None)
-                continue
-            data = np.frombuffer(s.encode(), np.uint8)
-            _, win, pos = kernel.sample(data, np.array([0, len(data)]), SketchOptions(int(a), int(b), canonical, kind))
-            out.append(pos if kind == "minimizers" else win)
-        return pd.Series(out)
+        out = pd.Series([None] * len(seq), dtype=object)
+        known = seq.notna() & k.notna() & w.notna()
+        # one call of the kernel for each (k, w), commonly one in all
+        for (a, b), rows in seq[known].groupby([k[known], w[known]]):
+            texts = [s.encode() for s in rows]
+            offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+            row, win, pos = kernel.sample(np.frombuffer(b"".join(texts), np.uint8), offsets, SketchOptions(int(a), int(b), canonical, kind))
+            found = np.split(pos if kind == "minimizers" else win, np.searchsorted(row, np.arange(1, len(texts))))
+            out[rows.index] = pd.Series(found, index=rows.index, dtype=object)
+        return out
 
     return run
 

@@ -17,19 +17,21 @@ def _carried(df: DataFrame, seq: str, keep: list[str] | None) -> list[str]:
     return keep if keep is not None else [c for c in df.columns if c != seq]
 
 
-def sketch(df: DataFrame, seq: str, options: SketchOptions, keep: list[str] | None = None, value: bool = False, chunk: int | None = None) -> DataFrame:
+def sketch(df: DataFrame, seq: str, options: SketchOptions, keep: list[str] | None = None, value: bool = False, chunk: int | None = None, spread: int | None = None) -> DataFrame:
     """Samples of the column `seq`: the kept columns, then win, pos and, if asked, value.
 
     For minimizers win is the first window of a run with the same answer, that is the
     start of its super-k-mer; for syncmers win is where the syncmer starts. A null or
     short sequence gives no rows. With `chunk`, a sequence is cut into pieces of so
-    many windows that overlap by what an answer can see; results are the same, and
-    pieces can be spread over tasks by a later repartition. Works on streams.
+    many windows that overlap by what an answer can see; results are the same. A
+    row's pieces are cut and sampled in its own task, unless `spread` names a number
+    of partitions: the cut pieces are then dealt out evenly, by one shuffle of the
+    sequences, so that one very long row keeps many tasks busy. Works on streams.
     """
     ship(df.sparkSession)
     names = _carried(df, seq, keep)
-    if chunk:
-        return _chunked(df, seq, options, names, value, chunk)
+    if chunk or spread:
+        return _chunked(df, seq, options, names, value, chunk or CHUNK, spread)
     return _exploded(df.select(*names, F.col(seq).alias("_s")), names, options, value)
 
 
@@ -41,7 +43,7 @@ def _exploded(rows: DataFrame, names: list[str], options: SketchOptions, value:
     return out.filter("win is not null")
 
 
-def _chunked(df: DataFrame, seq: str, options: SketchOptions, names: list[str], value: bool, chunk: int) -> DataFrame:
+def _chunked(df: DataFrame, seq: str, options: SketchOptions, names: list[str], value: bool, chunk: int, spread: int | None) -> DataFrame:
     length = options.length
     # substring of binary copies only the piece; of a string it would scan from the start
     rows = df.select(*names, F.col(seq).cast("binary").alias("_b"))
@@ -50,6 +52,8 @@ def _chunked(df: DataFrame, seq: str, options: SketchOptions, names: list[str],
     begin = F.greatest(F.col("_j") * F.lit(chunk) - 1, F.lit(0))  # one window of context
     size = F.lit(chunk + length) - F.when(F.col("_j") == 0, 1).otherwise(0)
     cut = pieces.select(*names, "_j", begin.cast("long").alias("_at"), F.substring("_b", begin + 1, size).alias("_s"))
+    if spread:
+        cut = cut.repartition(spread)
     out = _exploded(cut, [*names, "_j", "_at"], options, value).filter("_j = 0 or win > 0")
     fields = [(F.col("win") + F.col("_at")).alias("win"), (F.col("pos") + F.col("_at")).alias("pos")]
     return out.select(*names, *fields, *["value"] * value)
@@ -80,7 +84,7 @@ def canonical_open_syncmers(df: DataFrame, seq: str, k: int, w: int, **more) ->
 
 
 def _options(df: DataFrame, seq: str, more: dict, **fixed) -> DataFrame:
-    own = {n: more.pop(n) for n in ("keep", "value", "chunk") if n in more}
+    own = {n: more.pop(n) for n in ("keep", "value", "chunk", "spread") if n in more}
     return sketch(df, seq, SketchOptions(**fixed, **more), **own)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.functions import bases, sql as sql_functions
+from strandloom.functions import bases, kernel, sql as sql_functions
 from strandloom.operators import analytics as A
 from strandloom.operators import sketch as S
 from strandloom.options import SketchOptions, syncmer_options
@@ -29,7 +29,9 @@ def _seqs(letters: str = "ACGTacgt", source: str = "documents", key: str = "doc_
     return f"seqs AS (SELECT {key} AS id, regexp_replace(text, '[^{letters}]', '', 'g') AS s FROM {source})"
 
 
-_NT = "CASE {c} WHEN 0 THEN 2512782452 WHEN 1 THEN 1654663500 WHEN 2 THEN 2189566756 ELSE 1273119830 END"
+def _nt(c: str) -> str:
+    """The hash constant of a base code."""
+    return f"CASE {c} " + " ".join(f"WHEN {i} THEN {int(x)}" for i, x in enumerate(kernel.NT)) + " END"
 
 
 def _turn(x: str, by: str) -> str:
@@ -46,8 +48,7 @@ def _bases() -> str:
 
 
 def _hash_sql(k: int, canonical: bool) -> str:
-    nt = _NT.format(c="c").replace("2512782452", str(0x95C60474)).replace("1654663500", str(0x62A02B4C)).replace("2189566756", str(0x82572324)).replace("1273119830", str(0x4BE24456))
-    rc = nt.replace("CASE c", "CASE xor(c, 2)")
+    nt, rc = _nt("c"), _nt("xor(c, 2)")
     # the k-mer's own offset j is pos - i, so each base is turned as often as its place asks
     frame = f"OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING)"
     fw = f"bit_xor(gf) {frame}"
@@ -98,8 +99,9 @@ def sample_sql(o: SketchOptions) -> str:
 def value_sql(o: SketchOptions, seqs: str | None = None, select: str = "SELECT id, win, pos, value FROM v") -> str:
     n = o.value_length
     at = "p.pos" if o.kind == "minimizers" else "p.win"
-    low = f"CAST(sum(b.c << CAST(2 * (b.pos - {at}) AS BIGINT)) AS BIGINT)"
-    rev = f"CAST(sum(xor(b.c, 2) << CAST(2 * ({n - 1} - (b.pos - {at})) AS BIGINT)) AS BIGINT)"
+    kind = "BIGINT" if n <= 31 else "HUGEINT"
+    low = f"CAST(sum(CAST(b.c AS {kind}) * CAST(pow(2, 2 * (b.pos - {at})) AS {kind})) AS {kind})"
+    rev = f"CAST(sum(CAST(xor(b.c, 2) AS {kind}) * CAST(pow(2, 2 * ({n - 1} - (b.pos - {at}))) AS {kind})) AS {kind})"
     value = f"least({low}, {rev})" if o.canonical else low
     return _with(o, seqs) + f""",
 v AS (
@@ -154,6 +156,7 @@ for _name, _o in {
 for _name, _o in {"minimizers": F21, "canonical_minimizers": C21, "canonical_open_syncmers": SketchOptions(11, 11, canonical=True, kind="open")}.items():
     _add(f"relational_{_name}", lambda spark, d, o=_o: R.sketch(sequences(spark, d), "seq", o, ["id"]), sample_sql(_o))
     _add(f"chunked_{_name}", _samples(_o, chunk=100), sample_sql(_o))
+_add("spread_minimizers", _samples(F21, chunk=1000, spread=16), sample_sql(F21))
 
 for _name, _o in {
     "minimizer_values": F21, "canonical_minimizer_values": C21, "closed_syncmer_values": SketchOptions(11, 11, kind="closed"),
@@ -162,6 +165,13 @@ for _name, _o in {
 }.items():
     _add(_name, _samples(_o, value=True), value_sql(_o))
 
+# values beyond 64 bits, as text
+for _name, _o in {"wide_minimizer_values": SketchOptions(33, 5), "wide_canonical_syncmer_values": SketchOptions(21, 25, canonical=True, kind="closed")}.items():
+    _add(
+        _name, lambda spark, d, o=_o: S.sketch(sequences(spark, d), "seq", o, value=True).withColumn("value", F.col("value").cast("string")),
+        value_sql(_o, select="SELECT id, win, pos, CAST(value AS VARCHAR) AS value FROM v"),
+    )
+
 for _name, _canonical in {"kmer_hashes": False, "canonical_kmer_hashes": True}.items():
     _o = SketchOptions(21, 1, symmetric=_canonical)
     _add(
@@ -221,25 +231,30 @@ _add(
 r AS (SELECT id, string_agg(lower(printf('%02x', v::INTEGER)), '' ORDER BY quad) AS packed FROM q GROUP BY id)
 SELECT seqs.id, coalesce(packed, '') AS packed, upper(s) AS unpacked FROM seqs LEFT JOIN r ON r.id = seqs.id""",
 )
-_LCG = "SELECT i AS pos, substr('ACGT', CAST((((i * 1103515245 + 12345) % 4294967296) >> 16) % 4 AS INTEGER) + 1, 1) AS letter FROM range(10000) t(i)"
-_add("lcg_bases", lambda spark, d: Q.lcg_bases(spark, 10_000), _LCG)
+_LCG = "SELECT i AS pos, substr('ACGT', CAST((((i * 1103515245 + 12345) % 4294967296) >> 16) % 4 AS INTEGER) + 1, 1) AS letter FROM range((SELECT 10 * count(*) FROM documents)) t(i)"
+_length = lambda spark, d: 10 * table(spark, d, "documents").count()
+_add("lcg_bases", lambda spark, d: Q.lcg_bases(spark, _length(spark, d)), _LCG)
 _LCGS = f"seqs AS (SELECT 0::BIGINT AS id, string_agg(letter, '' ORDER BY pos) AS s FROM ({_LCG}))"
-_add("lcg_minimizers", lambda spark, d: S.sketch(Q.lcg_sequence(spark, 10_000), "seq", SketchOptions(11, 11)), _with(SketchOptions(11, 11), _LCGS) + "\nSELECT id, win, pos FROM p")
+_add("lcg_minimizers", lambda spark, d: S.sketch(Q.lcg_sequence(spark, _length(spark, d)), "seq", SketchOptions(11, 11)), _with(SketchOptions(11, 11), _LCGS) + "\nSELECT id, win, pos FROM p")
 _add(
     "from_codes", lambda spark, d: Q.from_codes(table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.call_function("shiftright", F.col("c_custkey").cast("long"), i).bitwiseAND(F.lit(3)).cast("int")).alias("codes")), "codes").select("id", "seq"),
     "SELECT c_custkey::BIGINT AS id, array_to_string(list_transform(range(0, 20), lambda i: substr('ACTG', CAST((c_custkey::BIGINT >> i) & 3 AS INTEGER) + 1, 1)), '') AS seq FROM customer",
 )
 
 # sliding minima and adjacent repeats
+_HASHED = SketchOptions(21, 1)
+_RUN = "OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 10 FOLLOWING)"
 _add(
-    "sliding_minimum", lambda spark, d: R.sliding_minimum(spark.range(1000).select(F.lit(0).alias("series"), F.col("id").alias("pos"), ((F.col("id") * 12345 + 67890) * 65599 % (1 << 32)).alias("hash")), ["series"], "pos", "hash", 11).select("win", "left", "right"),
-    """WITH h AS (SELECT i AS pos, ((i * 12345 + 67890) * 65599 % 4294967296) >> 16 AS t FROM range(1000) r(i)),
-k AS (SELECT a.pos AS win, min(b.t) AS t FROM h a JOIN h b ON b.pos BETWEEN a.pos AND a.pos + 10 GROUP BY a.pos HAVING count(*) = 11)
-SELECT win, min(h.pos) AS "left", max(h.pos) AS "right" FROM k JOIN h ON h.t = k.t AND h.pos BETWEEN win AND win + 10 GROUP BY win""",
+    "sliding_minimum", lambda spark, d: R.sliding_minimum(S.kmer_hashes(sequences(spark, d), "seq", _HASHED), ["id"], "pos", "hash", 11).select("id", "win", "left", "right"),
+    f"""WITH {_seqs()},
+{_bases()},
+{_hash_sql(21, False)},
+k AS (SELECT id, pos AS win, count(hash) {_RUN} AS many, min((hash >> 16) * 4294967296 + pos) {_RUN} AS l, min((hash >> 16) * 4294967296 + (4294967295 - pos)) {_RUN} AS r FROM h)
+SELECT id, win, CAST(l & 4294967295 AS BIGINT) AS "left", CAST(4294967295 - (r & 4294967295) AS BIGINT) AS "right" FROM k WHERE many = 11""",
 )
 _add(
-    "adjacent_distinct", lambda spark, d: R.adjacent_distinct(table(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_id") % 7 > 0, F.col("event_type")).alias("kind")), ["user_id"], "event_id", "kind"),
-    "SELECT user_id, event_id, kind FROM (SELECT *, lag(kind) OVER (PARTITION BY user_id ORDER BY event_id) AS q FROM (SELECT user_id, event_id, event_type AS kind FROM events WHERE event_id % 7 > 0 AND event_type IS NOT NULL)) WHERE q IS NULL OR q <> kind",
+    "adjacent_distinct", lambda spark, d: R.adjacent_distinct(table(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("kind")), ["user_id"], "event_id", "kind"),
+    "SELECT user_id, event_id, kind FROM (SELECT *, lag(kind) OVER (PARTITION BY user_id ORDER BY event_id) AS q FROM (SELECT user_id, event_id, event_type AS kind FROM events WHERE event_type IS NOT NULL)) WHERE q IS NULL OR q <> kind",
 )
 
 # other hashers, general text

@@ -1,5 +1,6 @@
 """Definitions, one base at a time."""
 
+# Hash constants of the base codes 0 to 3.
 TABLE = [0x95C60474, 0x62A02B4C, 0x82572324, 0x4BE24456]
 
 

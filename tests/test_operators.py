@@ -143,3 +143,51 @@ def test_stream_query_waits_for_its_end(spark, monkeypatch):
     source = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", bases.dna_letters(F.col("text")).alias("seq"))
     assert rows(out) == rows(sketch.sketch(source, "seq", queries.C5)) != []
     assert out.inputFiles()  # from the shared folder, not from the driver's memory
+
+
+def test_fasta_header_with_mark(spark, tmp_path):
+    (tmp_path / "x.fa").write_bytes(b">a b>c\r\nACGT\r\nAC\r\n>second\nGG\n>empty\n")
+    out = sequences.read_fasta(spark, str(tmp_path / "x.fa")).orderBy("record").collect()
+    assert [(r["name"], r["seq"]) for r in out] == [("a b>c", "ACGTAC"), ("second", "GG"), ("empty", "")]
+
+
+@pytest.mark.parametrize("size", ["48b", "200b", "1m"])
+def test_fastq(spark, tmp_path, size):
+    import random
+
+    rng, want = random.Random(3), []
+    for i in range(120):
+        n = rng.choice([0, 1, 5, 30])
+        quality = "".join(rng.choices("@+>I#", k=n))
+        want.append((f"r{i} x@y", "".join(rng.choices("ACGTN", k=n)), "@" + quality[1:] if n and i % 3 == 0 else quality))
+    for name, part in (("a.fq", want[:70]), ("b.fq", want[70:])):
+        (tmp_path / name).write_text("".join(f"@{n}\n{s}\n+\n{q}\n" for n, s, q in part))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        out = sequences.read_fastq(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r["name"], r["seq"], r["quality"]) for r in out) == sorted(want)
+    assert sequences.read_fastq(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_one_long_row_is_spread_over_tasks(spark):
+    row = sequences.random_sequences(spark, 1, 1000).select("id", F.repeat("seq", 2000).alias("seq"))
+    tasks = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks(sketch.sketch(row, "seq", SketchOptions(21, 11), chunk=100_000)) == 1
+    spread = sketch.sketch(row, "seq", SketchOptions(21, 11), chunk=100_000, spread=8)
+    assert tasks(spread) > 4
+    plain = sketch.sketch(row, "seq", SketchOptions(21, 11))
+    assert spread.count() == plain.count() and spread.exceptAll(plain).count() == 0
+
+
+def test_sql_functions_with_nulls_and_mixed_windows(spark):
+    from strandloom.functions import sql
+
+    sql.register(spark)
+    text = "ACGTGCTCAGAGACTCAG"
+    df = spark.createDataFrame([(1, text, 5, 7), (2, None, 5, 7), (3, text, 3, 3), (4, text, None, 3), (5, "", 5, 7)], "id int, s string, k int, w int")
+    out = {r["id"]: r["p"] for r in df.selectExpr("id", "minimizer_positions(s, k, w) AS p").collect()}
+    assert out[1] == [4, 5, 8, 13] and out[2] is None and out[4] is None and out[5] == []
+    assert out[3] == [r["pos"] for r in sketch.minimizers(df.filter("id = 3").select("id", "s"), "s", 3, 3).orderBy("win").collect()]
