@@ -24,7 +24,8 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*([a-z][a-z0-9+.-]*://[^"'<>\s]+)"""
+#: Links that name a host; those without a scheme ("//host/") take the page's.
+LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'<>\s]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -51,38 +52,52 @@ def match_rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
 def host_edges(pages: DataFrame) -> DataFrame:
     """Distinct links (src, dst, n) between different hosts, with the number of linking pages."""
     links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)))).alias("to"))
+    links = links.withColumn("to", F.when(F.col("to").startswith("//"), F.concat(F.lit("any:"), "to")).otherwise(F.col("to")))
     return (
         links.select("src", host_of(F.col("to")).alias("dst")).filter("src <> '' and dst <> '' and src <> dst")
         .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """(host, score) after `rounds` of the walk on (src, dst, n) that restarts at `seeds` (host, mass).
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, settled: float = 1e-5, rounds: int = 200) -> DataFrame:
+    """(host, score) of the walk on (src, dst, n) that restarts at `seeds` (host, mass).
 
-    The mass of `seeds` should sum to 1. A host without outgoing links gives its
-    mass back to the seeds. Hosts never reached have no row. Shares are summed on
-    the map side, so a hub's links are not gathered in one task.
+    The mass of `seeds` should sum to 1. The walk goes on until the scores of all
+    hosts together change by `settled` at most and no host is newly reached;
+    `rounds` only stops a walk that would not end. Each round takes `damping` of the
+    change off, so 1e-5 takes some 70 rounds. A host without outgoing links gives
+    its mass back to the seeds. Hosts never reached have no row. Shares are summed
+    on the map side, so a hub's links are not gathered in one task.
     """
     weight = edges.groupBy("src").agg(F.sum("n").alias("total"))
     moves = materialize(edges.join(weight, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w")), "moves")
     if not moves.limit(1).count():
         return seeds.select("host", F.col("mass").alias("score"))
-    rank = seeds.select("host", F.col("mass").alias("score"))
-    seed = materialize(seeds, "seeds")
+    rank = seed = materialize(seeds.select("host", F.col("mass").alias("score")), "seeds")
+    reached = 0
     for _ in range(rounds):
         gone = moves.join(rank, moves.src == rank.host).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("score") * F.col("w"))).alias("score"))
         gone = materialize(gone, "walk")
         kept = gone.agg(F.sum("score")).first()[0] or 0.0
-        back = seed.select("host", (F.col("mass") * F.lit(1.0 - kept)).alias("score"))
-        after = materialize(gone.union(back).groupBy("host").agg(F.sum("score").alias("score")), "rank")
-        discard(gone, rank)
+        back = seed.select("host", (F.col("score") * F.lit(1.0 - kept)).alias("score"))
+        after = materialize(
+            gone.union(back).groupBy("host").agg(F.sum("score").alias("score")).join(rank.select("host", F.col("score").alias("was")), "host", "left")
+            .select("host", "score", F.abs(F.col("score") - F.coalesce("was", F.lit(0.0))).alias("change")),
+            "rank",
+        )
+        hosts, change = after.agg(F.count(F.lit(1)), F.sum("change")).first()
+        discard(gone)
+        if rank is not seed:
+            discard(rank)
         rank = after
+        if hosts == reached and change <= settled:
+            break
+        reached = hosts
     discard(moves, seed)
-    return rank
+    return rank.select("host", "score")
 
 
-def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 1.0, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 1.0, damping: float = 0.85) -> DataFrame:
     """Verdict on every row of `pages` (page_id, url, html).
 
     Returns (page_id, host, path, rule, verdict, trust, distrust). The longest rule
@@ -107,7 +122,7 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 1.0, damping: f
     scores = []
     for kind, total, links in (("allow", totals[0], edges), ("block", totals[1], edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))):
         seeds = counts.filter(F.col(kind) > 0).select("host", (F.col(kind) / F.lit(total or 1)).alias("mass"))
-        scores.append(personalised_pagerank(links, seeds, damping, rounds))
+        scores.append(personalised_pagerank(links, seeds, damping))
     both = reduce(
         lambda a, b: a.join(b, "host", "full"),
         [s.withColumnRenamed("score", n) for s, n in zip(scores, ("trust", "distrust"))],

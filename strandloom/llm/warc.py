@@ -29,7 +29,7 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage,
 )
 
-from .common import scratch_path, table
+from .common import scratch_path, spread, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -142,6 +142,7 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.payload = options.get("payload", "true").lower() == "true"
         self.target = int(options.get("partition_bytes", 16 << 20))
+        self.skip = options.get("damaged", "raise").lower() == "skip"
         self.tests: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters):
@@ -191,14 +192,26 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     def records(self, fs, name: str) -> Iterator[dict]:
+        """The records of a file that pass. A record cut short, or bytes that are none, raise, or with `damaged` "skip" end the file there."""
+        try:
+            yield from self.whole_records(fs, name)
+        except (Damaged, zlib.error) as e:
+            if not self.skip:
+                raise Damaged(f"{name}: {e}") from None
+
+    def whole_records(self, fs, name: str) -> Iterator[dict]:
         with fs.open_input_file(name) as f:
             end, at = f.size(), 0
             while at < end:
                 source = _Gzip(f, at, end) if name.endswith(".gz") else _Plain(f, at)
                 head = source.until(b"\r\n\r\n")
                 if not head:
-                    break
-                lines = head.decode("utf-8", "replace").split("\r\n")
+                    if not source.buf.strip(b"\r\n"):
+                        break  # blank lines at the end
+                    raise Damaged(f"the record at byte {at} ends within its headers")
+                if not head.lstrip(b"\r\n").startswith(b"WARC/"):
+                    raise Damaged(f"no record begins at byte {at}")
+                lines = head.lstrip(b"\r\n").decode("utf-8", "replace").split("\r\n")
                 fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if x)}
                 row = {c: fields.get(h.lower()) for c, h in HEADERS.items()}
                 if row["payload_digest"]:
@@ -208,18 +221,36 @@ class WarcReader(DataSourceReader):
                     row |= self.block(source, length, fields)
                     yield row
                 at = source.next(len(head) + length + 4)
+                if at - 4 > end:
+                    raise Damaged(f"a record of {length} bytes ends beyond the file")
 
     def block(self, source, length: int, fields: dict) -> dict:
         whole = fields.get("content-type", "").startswith("application/http")
         if not whole:
-            return {"payload_bytes": length, "payload": source.take(length) if self.payload else None}
+            return {"payload_bytes": length, "payload": source.exactly(length) if self.payload else None}
         http = source.until(b"\r\n\r\n")
+        if not http or len(http) > length:
+            raise Damaged("a block ends within its HTTP headers")
         size = next((int(m[1]) for m in [re.search(rb"(?im)^content-length:\s*(\d+)", http)] if m), length - len(http))
         held = fields.get("warc-type") != "revisit"
-        return {"payload_bytes": size, "payload": source.take(length - len(http)) if self.payload and held else None}
+        if held:
+            size = length - len(http)
+        return {"payload_bytes": size, "payload": source.exactly(size) if self.payload and held else None}
+
+
+class Damaged(ValueError):
+    """An archive whose bytes are not whole records."""
+
+
+class _Source:
+    def exactly(self, n: int) -> bytes:
+        data = self.take(n)
+        if len(data) < n:
+            raise Damaged(f"a payload of {n} bytes ends after {len(data)}")
+        return data
 
 
-class _Plain:
+class _Plain(_Source):
     def __init__(self, f, at: int):
         self.f, self.at, self.used, self.buf = f, at, 0, b""
 
@@ -247,7 +278,7 @@ class _Plain:
         return self.at + record
 
 
-class _Gzip:
+class _Gzip(_Source):
     """One member; inflates no more than is asked for, a block at a time."""
 
     def __init__(self, f, at: int, end: int):
@@ -268,6 +299,8 @@ class _Gzip:
             tail = self.f.read(1 << 12 if want <= 1 << 13 else 1 << 16)
             self.pos += len(tail)
             if not tail:
+                if self.pos > self.at:
+                    raise Damaged(f"the member at byte {self.at} is cut short")
                 return False
         self.buf += self.z.decompress(tail, want)
         return True
@@ -299,7 +332,7 @@ class _Gzip:
 
 
 class WarcDataSource(DataSource):
-    """Format "warc". Options: path; reading: payload (false leaves payloads inflated by nobody), partition_bytes; writing: compression, level."""
+    """Format "warc". Options: path; reading: payload (false leaves payloads inflated by nobody), partition_bytes, damaged ("raise", or "skip" for the rest of a damaged file); writing: compression, level."""
 
     @classmethod
     def name(cls) -> str:
@@ -320,15 +353,16 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def page_records(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", salts: int = 8) -> DataFrame:
+def page_records(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", salts: int | None = None) -> DataFrame:
     """WARC records, response or revisit, for (page_id, url, html) rows.
 
     Of rows with equal payloads of at least `least_bytes`, those of the largest
     page_id are responses and the others revisit it; a row without page_id revisits
     too, if another row has one. A null html is an empty payload. Only payload keys
-    that repeat are joined back, salted, so a payload on a third of all rows is
-    spread over many tasks.
+    that repeat are joined back, salted (by default as often as the shuffle is wide),
+    so a payload on a third of all rows is spread over all tasks.
     """
+    salts = salts or spread(pages.sparkSession)
     rows = pages.select(
         "page_id", F.col("url").alias("target_uri"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")
     ).withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("_key", F.sha2("payload", 256)).withColumn(
