@@ -5,7 +5,10 @@ transform; its hash is the nearest signed axis. A table's key joins `HASHES` suc
 hashes. Each vector enters its base bucket in every table, and its next-nearest
 buckets as probes; a base member meets base members and probes of its bucket. A
 pair found by base keys is passed on only by the first table that finds it.
-Candidates are verified by cosine in double precision.
+Candidates are verified by cosine in double precision. Hashes per key follow the
+counted vectors of the largest label, so that a bucket's load by chance stays
+constant, and tables follow from what one table finds of simulated pairs at the
+threshold.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from .common import discard, materialize, table
 from .graph import components
 
 TABLES, HASHES, PROBES = 10, 2, 4
+#: Vectors that share a bucket of a table by chance, at most.
+LOAD = 0.25
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -62,20 +67,54 @@ def codes(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes: int
     return out
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw = batch.column(1).to_pylist()
-        sizes = np.array([len(r) for r in raw])
-        for size in np.unique(sizes):
-            rows = np.flatnonzero(sizes == size)
-            for at in range(0, len(rows), 512):
-                some = rows[at : at + 512]
-                x = np.frombuffer(b"".join(raw[i] for i in some), np.float64).reshape(len(some), -1)
-                found = codes(x / np.linalg.norm(x, axis=1)[:, None])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(some)), pa.array(found[:, :, 0].tolist(), pa.list_(pa.int64())), pa.array(found[:, :, 1:].reshape(len(some), -1).tolist(), pa.list_(pa.int64()))],
-                    names=["rep", "base", "probe"],
-                )
+def found_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each pair of rows of `codes` meets, by table: base to base, or base to probe either way."""
+    return (a == b[:, :, :1]).any(2) | (b == a[:, :, :1]).any(2)
+
+
+def simulated_pairs(size: int, cosine: float, pairs: int = 1000, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
+    """Random unit vectors, and others at `cosine` to them."""
+    rng = np.random.default_rng([seed, size])
+    x, z = rng.normal(size=(2, pairs, size))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z -= (z * x).sum(1)[:, None] * x
+    z /= np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]
+    return x, cosine * x + np.sqrt(1 - cosine**2) * z
+
+
+def choose(count: int, size: int, cosine: float, miss: float = 1e-3) -> tuple[int, int]:
+    """(tables, hashes) for `count` vectors of `size` numbers, so that `miss` of the pairs at `cosine` are lost at most."""
+    axes = 2 << max(1, int(size - 1).bit_length())
+    hashes = HASHES
+    while count > LOAD * axes**hashes and hashes * np.log2(axes) < 56:
+        hashes += 1
+    if size < 2:
+        return 1, hashes
+    a, b = (codes(v, 8, hashes) for v in simulated_pairs(size, cosine))
+    rate = min(max(found_pairs(a, b).mean(), 1e-3), 0.999)
+    return int(np.ceil(np.log(miss) / np.log1p(-rate))), hashes
+
+
+def _keys(tables: int, hashes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _keys_of(batch, tables, hashes)
+    return run
+
+
+def _keys_of(batch: pa.RecordBatch, tables: int, hashes: int) -> Iterator[pa.RecordBatch]:
+    raw = batch.column(1).to_pylist()
+    sizes = np.array([len(r) for r in raw])
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        for at in range(0, len(rows), 512):
+            some = rows[at : at + 512]
+            x = np.frombuffer(b"".join(raw[i] for i in some), np.float64).reshape(len(some), -1)
+            found = codes(x / np.linalg.norm(x, axis=1)[:, None], tables, hashes)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(some)), pa.array(found[:, :, 0].tolist(), pa.list_(pa.int64())), pa.array(found[:, :, 1:].reshape(len(some), -1).tolist(), pa.list_(pa.int64()))],
+                names=["rep", "base", "probe"],
+            )
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +162,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
         .withColumn("rep", F.xxhash64("label", "key")),
         "classes",
     )
-    keyed = materialize(reps.select("rep", "vec").mapInArrow(_keys, "rep long, base array<long>, probe array<long>"), "keys").join(
+    # one row per length of vectors reaches the driver
+    counts = reps.groupBy("label", F.length("vec").alias("size")).agg(F.count(F.lit(1)).alias("n")).groupBy("size").agg(F.max("n").alias("n")).collect()
+    most = max(counts, key=lambda r: (r["n"], r["size"]), default=None)
+    tables, hashes = choose(most["n"], most["size"] // 8, least) if most else (1, HASHES)
+    for r in counts:  # longer vectors may need more tables
+        if r["size"] > most["size"]:
+            tables = max(tables, choose(most["n"], r["size"] // 8, least)[0])
+    keyed = materialize(reps.select("rep", "vec").mapInArrow(_keys(tables, hashes), "rep long, base array<long>, probe array<long>"), "keys").join(
         reps.select("rep", "label", F.length("vec").alias("size")), "rep"
     )
     bases = keyed.select("rep", "label", "size", "base", F.posexplode("base").alias("t", "code"))

@@ -162,16 +162,15 @@ def test_embeddings(spark):
     assert embeddings.near_vectors(again).filter("n_links = 0").count() == 3
 
 
-def test_embedding_recall_at_the_threshold():
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(3000, 64))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    z = rng.normal(size=x.shape)
-    z -= (z * x).sum(1)[:, None] * x
-    z /= np.linalg.norm(z, axis=1)[:, None]
-    a, b = embeddings.codes(x), embeddings.codes(0.93 * x + np.sqrt(1 - 0.93**2) * z)
-    met = ((a == b[:, :, :1]).any(2) | (b == a[:, :, :1]).any(2)).any(1)
-    assert met.mean() > 0.995
+@pytest.mark.parametrize("count,size", [(1000, 64), (10**5, 64), (10**9, 64), (10**6, 24), (10**7, 256)])
+def test_embedding_recall_at_the_threshold(count, size):
+    tables, hashes = embeddings.choose(count, size, 0.93)
+    axes = 2 << max(1, int(size - 1).bit_length())
+    assert hashes == 2 or count <= axes**hashes and count > embeddings.LOAD * axes ** (hashes - 1)
+    x, y = embeddings.simulated_pairs(size, 0.93, 1500, seed=5)
+    assert np.allclose((x * y).sum(1), 0.93)
+    met = embeddings.found_pairs(embeddings.codes(x, tables, hashes), embeddings.codes(y, tables, hashes)).any(1)
+    assert met.mean() > 0.99
 
 
 def test_hadamard():
