@@ -180,14 +180,29 @@ BLOCK = 256
 
 
 def _in_blocks(rows: DataFrame, group: str, *more: str) -> DataFrame:
-    """Deal (group, n, rep, label, sig) to pairs of blocks, sorted so that each pair is a run of rows.
+    """Deal (group, rep, label, sig) to pairs of blocks, sorted so that each pair is a run of rows.
 
-    A group of n members has ceil(n / BLOCK) blocks; a member goes to each pair that
-    holds its block, so no task needs more than two blocks of a group at a time.
+    Only members of different labels need to meet. A label with BLOCK members or more
+    in a group has blocks of its own; the rest of the group shares blocks. A member
+    goes to each pair of its block with a block that may hold other labels, so a
+    group is sent as often as it has members across labels, over BLOCK, and no task
+    needs more than two blocks of a group at a time.
     """
-    count = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), count).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    from pyspark.sql import Window as W
+
+    large = (F.col("_c") >= BLOCK).alias("large")
+    own_label = F.when(F.col("_c") >= BLOCK, F.col("label")).otherwise(F.lit(0)).alias("own_label")
+    sizes = rows.groupBy(group, "label").agg(F.count(F.lit(1)).alias("_c")).select(group, "label", "_c", large, own_label)
+    kinds = sizes.groupBy(group, "large", "own_label").agg(F.ceil(F.sum("_c") / BLOCK).cast("int").alias("blocks"))
+    up_to = F.sum("blocks").over(W.partitionBy(group).orderBy("large", "own_label").rowsBetween(W.unboundedPreceding, 0))
+    kinds = kinds.withColumn("begin", (up_to - F.col("blocks")).cast("int")).withColumn("total", F.sum("blocks").over(W.partitionBy(group)).cast("int"))
+    placed = sizes.drop("_c").join(kinds, [group, "large", "own_label"]).drop("own_label")
+    own = F.col("begin") + F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    met = rows.join(placed, [group, "label"]).withColumn("own", own)
+    others = F.filter(
+        F.sequence(F.lit(0), F.col("total") - 1), lambda x: ~F.col("large") | (x < F.col("begin")) | (x >= F.col("begin") + F.col("blocks"))
+    )
+    dealt = met.withColumn("other", F.explode(others))
     key = F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other"))
     dealt = dealt.select(key.alias("key"), (F.col("own") < F.col("other")).alias("low"), (F.col("own") == F.col("other")).alias("same"), "rep", "label", "sig", *more)
     return dealt.repartition("key").sortWithinPartitions("key")
@@ -364,16 +379,15 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, mis
     tagged = members.select("bucket", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "bucket", "rep", F.coalesce("label", "rep").alias("label")
     )
-    mixed = tagged.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), (F.min("label") != F.max("label")).alias("mixed")).filter("mixed")
-    left = tagged.join(mixed.select("bucket", "n"), "bucket").join(sigs, "rep")
+    mixed = tagged.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed")
+    left = tagged.join(mixed.select("bucket"), "bucket", "left_semi").join(sigs, "rep")
     maybe = _in_blocks(left, "bucket").mapInArrow(_near(floor), "u long, v long")
     cluster = components(materialize(maybe, "maybe"))
     # then verify within those clusters, block by block, each set shipped once per block
     inside = cluster.select(F.col("node").alias("rep"), F.col("label").alias("bucket")).join(
         labels.withColumnRenamed("node", "rep"), "rep", "left"
     ).withColumn("label", F.coalesce("label", "rep"))
-    sized = inside.join(inside.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket").join(sigs, "rep").join(sets, "rep")
-    more = materialize(_in_blocks(sized, "bucket", "set").mapInArrow(_exact(floor, percent), "u long, v long"), "links")
+    more = materialize(_in_blocks(inside.join(sigs, "rep").join(sets, "rep"), "bucket", "set").mapInArrow(_exact(floor, percent), "u long, v long"), "links")
     if more.limit(1).count():
         labels = materialize(components(links.union(more)), "labels")
     discard(members, stars)

@@ -57,6 +57,30 @@ def test_near_duplicate_chain_in_one_bucket(spark):
     assert got(minhash.near_duplicates(frame(spark, rows), 4)) == brute.near_duplicates(rows, 4)
 
 
+def test_blocks_hold_pairs_across_labels_once(spark):
+    def dealt(labels):
+        rows = [(1, i, l, i.to_bytes(4, "little")) for i, l in enumerate(labels)]
+        return minhash._in_blocks(spark.createDataFrame(rows, "bucket long, rep long, label long, sig binary"), "bucket").collect()
+
+    # members of one label and a stranger: in proportion to the members, not to their square
+    assert len(dealt([5] * 2000 + [9])) == 2000 + 8 + 1
+    rng = random.Random(1)
+    labels = [5] * 600 + [-7] * 300 + [0] * 256 + [rng.randrange(100, 400) for _ in range(500)]
+    pairs = {}
+    for r in dealt(labels):
+        pairs.setdefault(r["key"], []).append(r)
+    met = {}
+    for rows in pairs.values():
+        x, y = [r for r in rows if r["low"] or r["same"]], [r for r in rows if not r["low"]]
+        for a in x:
+            for b in y:
+                if a["label"] != b["label"] and (not a["same"] or a["rep"] < b["rep"]):
+                    key = (min(a["rep"], b["rep"]), max(a["rep"], b["rep"]))
+                    met[key] = met.get(key, 0) + 1
+    want = {(i, j) for i in range(len(labels)) for j in range(i + 1, len(labels)) if labels[i] != labels[j]}
+    assert set(met) == want and set(met.values()) == {1}
+
+
 def test_near_duplicates_odd_rows(spark):
     long = " ".join(VOCABULARY)
     rows = [(5, long), (5, long), (3, long + " end"), (None, long), (None, "alone here it is"), (7, None), (9, "twin a b c d"), (9, "other text of the same id")]
