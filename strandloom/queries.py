@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.functions import bases, kernel, sql as sql_functions
+from strandloom.functions import bases, kernel, sql as sql_functions, wide
 from strandloom.operators import analytics as A
+from strandloom.operators import compare
 from strandloom.operators import sketch as S
 from strandloom.options import SketchOptions, syncmer_options
 from strandloom.plans import relational as R
@@ -327,6 +328,43 @@ _add(
 )
 
 
+# comparison samplers: 64-bit hashes, rightmost ties, jumping
+def _upper(spark: SparkSession, d: str) -> DataFrame:
+    return sequences(spark, d).select("id", F.upper("seq").alias("seq"))
+
+
+_ALL64 = f"{(1 << 64) - 1}::UBIGINT"
+
+
+def _turn64(x: str, by: str) -> str:
+    """x rotated left in 64 bits by `by`, a non-negative expression."""
+    r = f"CAST(({by}) % 64 AS UBIGINT)"
+    return f"((({x}) & ({_ALL64} >> {r})) << {r}) | (({x}) >> (64::UBIGINT - {r}))"
+
+
+def wide_sql(k: int, w: int, ties: str = "left", tail: str = "") -> str:
+    """Answers of all windows, `a` (id, win, pos, lst), under the 64-bit hash with rotation 1."""
+    letter = "CASE c " + " ".join(f"WHEN {i} THEN {wide.LETTERS[x]}::UBIGINT" for i, x in enumerate("ACTG")) + " END"
+    frame = f"OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING)"
+    run = f"OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING)"
+    place = "pos" if ties == "left" else "-pos"
+    return f"""WITH RECURSIVE {_seqs()}, {_bases()},
+g AS (SELECT id, pos, n, {_turn64(letter, '(64 - pos % 64)')} AS t FROM b),
+x AS (SELECT id, pos, n, bit_xor(t) {frame} AS t FROM g),
+h AS (SELECT id, pos, n, {_turn64('t', f'pos + {k - 1}')} AS hash FROM x WHERE pos + {k} <= n),
+a AS (SELECT id, pos AS win, abs(best.p)::BIGINT AS pos, (n - {k + w - 1})::BIGINT AS lst FROM (SELECT *, min({{'h': hash, 'p': {place}}}) {run} AS best FROM h) WHERE pos + {k + w - 1} <= n){tail}"""
+
+
+_DISTINCT = "\nSELECT id, win, pos FROM (SELECT *, lag(pos) OVER (PARTITION BY id ORDER BY win) AS q FROM a) WHERE q IS NULL OR q <> pos"
+_JUMPS = """,
+j AS (SELECT * FROM a WHERE win = 0 AND lst > 0 UNION ALL SELECT a.* FROM j JOIN a ON a.id = j.id AND a.win = j.pos + 1 WHERE a.win < a.lst),
+e AS (SELECT id, max(pos) AS pos FROM j GROUP BY id)
+SELECT id, win, pos FROM j UNION ALL SELECT a.id, a.win, a.pos FROM a LEFT JOIN e ON e.id = a.id WHERE a.win = a.lst AND (e.pos IS NULL OR e.pos <> a.pos)"""
+_add("wide_minimizers", lambda spark, d: compare.wide_minimizers(_upper(spark, d), "seq", 21, 11), wide_sql(21, 11) + _DISTINCT)
+_add("rightmost_minimizers", lambda spark, d: compare.wide_minimizers(_upper(spark, d), "seq", 3, 11, ties="right"), wide_sql(3, 11, "right") + _DISTINCT)
+_add("jumping_minimizers", lambda spark, d: compare.wide_minimizers(_upper(spark, d), "seq", 21, 11, scheme="jumping"), wide_sql(21, 11, tail=_JUMPS))
+
+
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     """Canonical minimizers of a file stream of conversations, run to its end."""
     from strandloom.streaming.stream import run_to_end, sketch_stream
