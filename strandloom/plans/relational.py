@@ -25,7 +25,7 @@ def bases(df: DataFrame, seq: str, keep: list[str]) -> DataFrame:
     letters = F.posexplode(F.split(F.col(seq), "")).alias("pos", "letter")
     rows = df.filter(F.length(seq) > 0).select(*keep, letters).filter("letter <> ''")
     code = F.shiftright(F.ascii("letter"), 1).bitwiseAND(3)
-    return rows.select(*keep, F.col("pos").cast("long").alias("pos"), code.alias("code"), F.col("letter").rlike("^[ACGTacgt]$").alias("plain"))
+    return rows.select(*keep, F.col("pos").cast("long").alias("pos"), code.alias("code"), F.col("letter").isin(*"ACGTacgt").alias("plain"))
 
 
 def _constant(code: Column) -> Column:
