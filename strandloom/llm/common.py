@@ -7,8 +7,9 @@ import re
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -82,6 +83,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A key is hot that holds more than so many rows, and more than one in HOT_KEYS of all rows.
+HOT_ROWS, HOT_KEYS = 512, 4096
+
+
+def hot_keys(counts: DataFrame, on: list[str], count: str) -> DataFrame:
+    """(on, _parts) for the hot keys of `counts`, one row per key, `count` the rows that hold it.
+
+    At most HOT_KEYS keys are hot, so the result can be broadcast. `counts` is read
+    twice: it should be a written table.
+    """
+    total = counts.agg(F.sum(count)).first()[0] or 0
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    return counts.filter(F.col(count) > limit).select(*on, F.ceil(F.col(count) / F.lit(limit)).cast("int").alias("_parts"))
+
+
+def dealt_join(rows: DataFrame, keyed: DataFrame, on: list[str], hot: DataFrame, by: Column, how: str = "inner") -> DataFrame:
+    """`rows` joined with `keyed`, one row per key, with the rows of `hot` keys dealt to several tasks.
+
+    A row's part follows `by`, a whole number that must differ among the rows of a
+    key and come out the same if a task is run again. `keyed` gets a copy of its
+    row for each part, at most 2 * HOT_KEYS more rows in all.
+    """
+    hot = F.broadcast(hot)
+    nameless = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])  # these match nothing, so any part will do
+    part = F.coalesce(F.pmod(by, F.when(nameless, HOT_KEYS).otherwise(F.col("_parts"))).cast("int"), F.lit(0))
+    parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    left = rows.join(hot, on, "left").withColumn("_part", part).drop("_parts")
+    right = keyed.join(hot, on, "left").withColumn("_part", F.explode(parts)).drop("_parts")
+    return left.join(right, [*on, "_part"], how).drop("_part")
+
+
+#: What is broadcast has at most so many bytes, counted first; beyond, the join shuffles.
+BROADCAST_BYTES = 32 << 20
+
+
+def attach(rows: DataFrame, facts: DataFrame, key: str, by: Column) -> DataFrame:
+    """`rows` left joined with `facts`, a written table of one row per `key`: broadcast if it is small, else dealt."""
+    wide = {"string": F.octet_length, "binary": F.octet_length, "array": lambda c: F.octet_length(F.to_json(c))}
+    parts = [F.coalesce(wide[t.split("<")[0]](F.col(c)), F.lit(0)) if t.split("<")[0] in wide else F.lit(8) for c, t in facts.dtypes]
+    size = facts.agg(F.sum(reduce(lambda a, b: a + b, parts) + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(facts), key, "left")
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_ROWS)
+    return dealt_join(rows, facts, [key], hot_keys(materialize(counts, "counts"), [key], "n"), by, "left")
+
+
 def spread(spark: SparkSession) -> int:
     """Number of value-hash blocks used to number rows; follows the shuffle width."""
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))

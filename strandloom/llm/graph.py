@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import dealt_join, discard, hot_keys, materialize
 
 
 #: Edges that one task writes in a round.
@@ -43,16 +43,16 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([find(x) for x in up], pa.int64())], names=["node", "label"])
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step. The least neighbour is pre-aggregated and joined back; a hub's rows in that join are dealt anew by adaptive execution."""
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """One step, and a written table it reads. The least neighbour is pre-aggregated and joined back, a hub's edges in several tasks."""
     both = edges if not large else edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    met = both.join(least, "u")
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    met = dealt_join(both, least.drop("n"), ["u"], hot_keys(least, ["u"], "n"), F.col("v"))
     if large:
         out = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return out.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -67,8 +67,12 @@ def components(edges: DataFrame) -> DataFrame:
         return now.coalesce(1).mapInArrow(_joined, "node long, label long")
     parts = mark[0] // EDGES_PER_FILE + 1  # edges never get more, so rounds need no more files
     while mark[0]:
-        after, seen = _written(_star(_star(now, True), False).coalesce(parts))
-        discard(now)
+        grown, read = _star(now, True)
+        middle = materialize(grown.coalesce(parts), "edges")
+        discard(read)
+        shrunk, read = _star(middle, False)
+        after, seen = _written(shrunk.coalesce(parts))
+        discard(now, middle, read)
         now = after
         if seen == mark:
             break

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table
+from .common import dealt_join, discard, hot_keys, materialize, table
 from .graph import components
 from .words import grams, mix, pieces, scan
 
@@ -192,13 +192,13 @@ def _in_blocks(rows: DataFrame, group: str, *more: str) -> DataFrame:
 
     large = (F.col("_c") >= BLOCK).alias("large")
     own_label = F.when(F.col("_c") >= BLOCK, F.col("label")).otherwise(F.lit(0)).alias("own_label")
-    sizes = rows.groupBy(group, "label").agg(F.count(F.lit(1)).alias("_c")).select(group, "label", "_c", large, own_label)
+    sizes = materialize(rows.groupBy(group, "label").agg(F.count(F.lit(1)).alias("_c")).select(group, "label", "_c", large, own_label), "sizes")
     kinds = sizes.groupBy(group, "large", "own_label").agg(F.ceil(F.sum("_c") / BLOCK).cast("int").alias("blocks"))
     up_to = F.sum("blocks").over(W.partitionBy(group).orderBy("large", "own_label").rowsBetween(W.unboundedPreceding, 0))
     kinds = kinds.withColumn("begin", (up_to - F.col("blocks")).cast("int")).withColumn("total", F.sum("blocks").over(W.partitionBy(group)).cast("int"))
     placed = sizes.drop("_c").join(kinds, [group, "large", "own_label"]).drop("own_label")
     own = F.col("begin") + F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    met = rows.join(placed, [group, "label"]).withColumn("own", own)
+    met = dealt_join(rows, placed, [group, "label"], hot_keys(sizes, [group, "label"], "_c"), F.col("rep")).withColumn("own", own)
     others = F.filter(
         F.sequence(F.lit(0), F.col("total") - 1), lambda x: ~F.col("large") | (x < F.col("begin")) | (x >= F.col("begin") + F.col("blocks"))
     )
@@ -324,17 +324,21 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, mis
     )
     some = base.filter("n_shingles > 0")
     reps = materialize(
-        some.groupBy("n_shingles", "d0", "d1").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"))
+        some.groupBy("n_shingles", "d0", "d1").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies"))
         .filter("doc is not null").withColumn("rep", class_id),
         "reps",
     )
     sigs = reps.select("rep", "sig")
     buckets = sigs.mapInArrow(_bands, "bucket long, rep long")
-    crowded = buckets.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.min(F.struct(F.xxhash64("rep", F.lit(o)).alias("h"), F.col("rep").alias("c"))).alias(f"c{o}") for o in range(orders)],
-    ).filter("n > 1").select("bucket", F.array(*[F.col(f"c{o}.c") for o in range(orders)]).alias("centres"))
-    members = materialize(buckets.join(crowded, "bucket"), "members")
+    crowded = materialize(
+        buckets.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.min(F.struct(F.xxhash64("rep", F.lit(o)).alias("h"), F.col("rep").alias("c"))).alias(f"c{o}") for o in range(orders)],
+        ).filter("n > 1").select("bucket", "n", F.array(*[F.col(f"c{o}.c") for o in range(orders)]).alias("centres")),
+        "crowded",
+    )
+    hot = hot_keys(crowded, ["bucket"], "n")
+    members = materialize(dealt_join(buckets, crowded.drop("n"), ["bucket"], hot, F.col("rep")), "members")
     pairs = (
         members.select("rep", F.explode("centres").alias("c")).filter("rep <> c")
         .select(F.greatest("rep", "c").alias("a"), F.least("rep", "c").alias("b")).distinct()
@@ -380,7 +384,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, mis
         "bucket", "rep", F.coalesce("label", "rep").alias("label")
     )
     mixed = tagged.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed")
-    left = tagged.join(mixed.select("bucket"), "bucket", "left_semi").join(sigs, "rep")
+    left = dealt_join(tagged, mixed.select("bucket"), ["bucket"], hot, F.col("rep"), "left_semi").join(sigs, "rep")
     maybe = _in_blocks(left, "bucket").mapInArrow(_near(floor), "u long, v long")
     cluster = components(materialize(maybe, "maybe"))
     # then verify within those clusters, block by block, each set shipped once per block
@@ -390,18 +394,20 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, mis
     more = materialize(_in_blocks(inside.join(sigs, "rep").join(sets, "rep"), "bucket", "set").mapInArrow(_exact(floor, percent), "u long, v long"), "links")
     if more.limit(1).count():
         labels = materialize(components(links.union(more)), "labels")
-    discard(members, stars)
+    discard(members, stars, crowded)
     classes = materialize(
-        reps.select("rep", "doc", F.col("n_shingles").alias("n"), F.col("d0").alias("e0"), F.col("d1").alias("e1"))
+        reps.select("rep", "doc", "n_shingles", "d0", "d1", "copies")
         .join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")),
         "classes",
     )
     discard(reps, sets)
-    least = classes.groupBy("label").agg(F.min("doc").alias("least"))
-    named = classes.join(least, "label").select("n", "e0", "e1", "least")
-    on = (F.col("n_shingles") == F.col("n")) & (F.col("d0") == F.col("e0")) & (F.col("d1") == F.col("e1"))
+    least = materialize(classes.groupBy("label").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")), "least")
+    named = dealt_join(classes, least.drop("n"), ["label"], hot_keys(least, ["label"], "n"), F.col("rep"))
+    on = ["n_shingles", "d0", "d1"]
     component = F.coalesce("least", "doc_id")
-    return base.drop("sig").join(named, on, "left").select(
+    # rows may be equal in all columns, so their place in the written table deals them
+    met = dealt_join(base.drop("sig"), named.select(*on, "least"), on, hot_keys(classes, on, "copies"), F.monotonically_increasing_id(), "left")
+    return met.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept")
     )
 

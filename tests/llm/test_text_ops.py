@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.llm import decontam, minhash, sharding, substrings
+from strandloom.llm import common, decontam, minhash, sharding, substrings
 
 from . import brute
 
@@ -81,6 +81,30 @@ def test_blocks_hold_pairs_across_labels_once(spark):
     assert set(met) == want and set(met.values()) == {1}
 
 
+def test_hot_keys_are_dealt_to_tasks(spark):
+    rows = spark.range(9000).select(F.when(F.col("id") < 6000, 1).otherwise(F.col("id")).alias("k"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("v"))
+    rows = rows.union(spark.createDataFrame([(None, 5)], "k long, v long"))
+    counts = rows.filter("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    hot = common.hot_keys(counts, ["k"], "n")
+    assert got(hot) == [(1, 12)]
+    keyed = counts.select("k", (F.col("k") * 2).alias("x")).filter("k % 5 > 0")
+    by = F.monotonically_increasing_id()
+    for how in ("inner", "left", "left_semi"):
+        out = common.dealt_join(rows, keyed, ["k"], hot, by, how)
+        want = rows.join(keyed, ["k"], how)
+        assert out.columns == want.columns
+        assert out.exceptAll(want).count() == want.exceptAll(out).count() == 0
+    assert common.hot_keys(counts.filter("n < 0"), ["k"], "n").count() == 0
+
+
+def test_near_duplicates_of_many_copies(spark):
+    rng = random.Random(4)
+    base = rng.choices(VOCABULARY, k=100)
+    rows = [(i, " ".join(base)) for i in range(1500)] + [(1500 + i, " ".join([*base, f"e{i}"])) for i in range(700)] + [(3000, "some other text of few words")]
+    out = got(minhash.near_duplicates(frame(spark, rows), 4))
+    assert out == [(i, len({tuple(t.split()[j : j + 4]) for j in range(len(t.split()) - 3)}), 0 if i < 3000 else 3000, i in (0, 3000)) for i, t in rows]
+
+
 def test_near_duplicates_odd_rows(spark):
     long = " ".join(VOCABULARY)
     rows = [(5, long), (5, long), (3, long + " end"), (None, long), (None, "alone here it is"), (7, None), (9, "twin a b c d"), (9, "other text of the same id")]
@@ -152,6 +176,19 @@ def test_hits_across_ranges(spark, monkeypatch):
     assert got(decontam.decontaminate(frame(spark, rows), bench)) == sorted(brute.decontaminate(rows, items))
 
 
+def test_hits_too_many_to_broadcast(spark, monkeypatch):
+    rows, items = texts(5), [(f"b{i}", t) for i, t in texts(6) if t]
+    rows += [(1000 + i, rows[20][1]) for i in range(40)] + [(2000 + i, None) for i in range(40)]
+    docs, bench = frame(spark, rows), spark.createDataFrame([*items, ("own", rows[20][1])], "item_id string, text string")
+    want, kept = got(decontam.decontaminate(docs, bench)), list(map(tuple, decontam.drop_contaminated(docs, bench).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    assert any(r[-1] for r in want) and len(kept) < len(rows)
+    assert got(decontam.decontaminate(docs, bench)) == want
+    key = lambda r: (r[0], r[1] or "")
+    assert sorted(map(tuple, decontam.drop_contaminated(docs, bench).collect()), key=key) == sorted(kept, key=key)
+
+
 def test_decontamination_runs_no_python(spark):
     rows = frame(spark, texts(1, 3))
     plan = decontam.decontaminate(rows, rows.select(F.col("doc_id").alias("item_id"), "text"))._jdf.queryExecution().executedPlan().toString()
