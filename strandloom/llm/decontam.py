@@ -12,12 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import BROADCAST_BYTES, attach, materialize, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: What is broadcast has at most so many bytes, counted first; beyond, the join shuffles.
-BROADCAST_BYTES = 16 << 20
 #: Words of a text whose hits are counted together; a long text is many such ranges.
 RANGE = 1024
 
@@ -99,7 +97,7 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, span: int = 13, k
     short = items.filter(f"size < {span}").select(F.xxhash64(F.lit(-1), F.array_join("words", " ")).alias("fp"))
     marks = materialize(long.union(short).distinct(), "marks")
     sizes = [r[0] for r in items.select("size").filter(f"size < {span}").distinct().collect()]  # at most span - 1 rows
-    small = marks.count() * 16 <= BROADCAST_BYTES
+    small = marks.count() * 32 <= BROADCAST_BYTES
 
     texts = documents.select("text").filter("text is not null").withColumn("words", word_list(F.col("text")))
     texts = fingerprints(texts, "words", span, k)
@@ -153,8 +151,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, span: int = 13, k:
     hit nothing; hits of an item without item_id count as words, not as items.
     Contaminated means n_hit > 0 and share * n_hit >= n_words.
     """
-    facts = benchmark_hits(documents, benchmark, span, k)
-    out = documents.select("doc_id", word_count(F.col("text")).alias("n_words"), F.sha2("text", 256).alias("digest")).join(facts, "digest", "left")
+    facts = materialize(benchmark_hits(documents, benchmark, span, k), "facts")
+    rows = documents.select("doc_id", word_count(F.col("text")).alias("n_words"), F.sha2("text", 256).alias("digest"))
+    out = attach(rows, facts, "digest", F.xxhash64("doc_id"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     return out.select(
@@ -173,13 +172,11 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, span: int = 13
     or go by their own text.
     """
     hits = materialize(
-        benchmark_hits(documents, benchmark, span, k).select(F.unhex("digest").alias("digest"), F.col("n_hit").alias("hit"), "whole"), "hits"
+        benchmark_hits(documents, benchmark, span, k).select("digest", F.col("n_hit").alias("hit"), "whole", F.lit(True).alias("met")), "hits"
     )
-    if hits.count() * 64 <= BROADCAST_BYTES:  # beyond that, texts are shuffled
-        hits = F.broadcast(hits)
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
-    met = rows.join(hits, F.unhex(F.sha2(F.col("row.text"), 256)) == F.col("digest"), "left")
-    clean = F.col("digest").isNull() | (~F.col("whole") & (share * F.col("hit") < word_count(F.col("row.text"))))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")).withColumn("digest", F.sha2("row.text", 256))
+    met = attach(rows, hits, "digest", F.monotonically_increasing_id())
+    clean = F.col("met").isNull() | (~F.col("whole") & (share * F.col("hit") < word_count(F.col("row.text"))))
     return met.filter(clean).select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])
 
 

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table
+from .common import attach, dealt_join, discard, hot_keys, materialize, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The contract's rules: (verdict, host, path).
@@ -66,17 +66,21 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0
     hosts together change by `settled` at most and no host is newly reached;
     `rounds` only stops a walk that would not end. Each round takes `damping` of the
     change off, so 1e-5 takes some 70 rounds. A host without outgoing links gives
-    its mass back to the seeds. Hosts never reached have no row. Shares are summed
-    on the map side, so a hub's links are not gathered in one task.
+    its mass back to the seeds. Hosts never reached have no row. A hub's links are
+    dealt to several tasks, and shares are summed on the map side, so neither its
+    outgoing nor its incoming links are gathered in one.
     """
-    weight = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    moves = materialize(edges.join(weight, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w")), "moves")
-    if not moves.limit(1).count():
+    weight = materialize(edges.groupBy("src").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("links")), "weight")
+    if not weight.limit(1).count():
         return seeds.select("host", F.col("mass").alias("score"))
+    hubs = materialize(hot_keys(weight, ["src"], "links"), "hubs")
+    moves = dealt_join(edges, weight.drop("links"), ["src"], hubs, F.xxhash64("dst"))
+    moves = materialize(moves.select("src", "dst", (F.col("n") / F.col("total")).alias("w")), "moves")
     rank = seed = materialize(seeds.select("host", F.col("mass").alias("score")), "seeds")
     reached = 0
     for _ in range(rounds):
-        gone = moves.join(rank, moves.src == rank.host).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("score") * F.col("w"))).alias("score"))
+        met = dealt_join(moves, rank.select(F.col("host").alias("src"), "score"), ["src"], hubs, F.xxhash64("dst"))
+        gone = met.groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("score") * F.col("w"))).alias("score"))
         gone = materialize(gone, "walk")
         kept = gone.agg(F.sum("score")).first()[0] or 0.0
         back = seed.select("host", (F.col("score") * F.lit(1.0 - kept)).alias("score"))
@@ -93,7 +97,7 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0
         if hosts == reached and change <= settled:
             break
         reached = hosts
-    discard(moves, seed)
+    discard(moves, seed, weight, hubs)
     return rank.select("host", "score")
 
 
@@ -129,7 +133,7 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 1.0, damping: f
     ).select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     judged = materialize(both, "hosts")
     method = F.when(F.coalesce("distrust", F.lit(0.0)) > threshold * F.coalesce("trust", F.lit(0.0)), "block").otherwise("allow")
-    return rows.join(judged, "host", "left").select(
+    return attach(rows, judged, "host", F.xxhash64("page_id")).select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
     )
