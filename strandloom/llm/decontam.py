@@ -25,7 +25,8 @@ def word_list(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(word_list(text)).cast("long")
+    """The size of `word_list`, without lowering the text: letters of both cases are parts of words."""
+    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")), F.lit(0))).cast("long")
 
 
 def _shifted(hashes: Column, by: int) -> Column:
